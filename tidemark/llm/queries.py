@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, mixing
+from tidemark.llm import fingerprints, mixing, packing
 from tidemark.runtime import load
 
 
+def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, load(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, load(spark, sf_dir, "documents"))
 
@@ -19,8 +23,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": op2_mix_sources, "op8_fingerprints": op8_fingerprints}
+    return {"op1_pack_documents": op1_pack_documents, "op2_mix_sources": op2_mix_sources, "op8_fingerprints": op8_fingerprints}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL}
+    return {"op1_pack_documents": op1_pack_documents, "op2_mix_sources": mixing.SQL}
