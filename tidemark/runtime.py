@@ -70,6 +70,11 @@ def _conf(spark: SparkSession, **settings: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def clean_shuffles(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """While it holds, a job's shuffle files go when the job ends; for jobs whose result is written."""
+    return _conf(spark, **{_SHUFFLE_CLEANUP: "true"})
+
+
 class Scratch:
     """Intermediate tables of one operator run; all but its results go when it ends.
 
@@ -91,7 +96,7 @@ class Scratch:
         delete(self.spark, f"{self.root}/tmp")
 
     def _write(self, df: DataFrame, path: str, codec: str) -> DataFrame:
-        with _conf(self.spark, **{_SHUFFLE_CLEANUP: "true"}):
+        with clean_shuffles(self.spark):
             df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
