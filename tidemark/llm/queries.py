@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, mixing, packing, toxicity
+from tidemark.llm import fingerprints, media, mixing, packing, toxicity
 from tidemark.runtime import load
 
 
@@ -22,13 +22,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(spark, load(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(spark, load(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return toxicity.score(spark, docs, toxicity.fit_on(spark, docs, load(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack_documents": op1_pack_documents, "op2_mix_sources": op2_mix_sources, "op8_fingerprints": op8_fingerprints, "op10_toxicity": op10_toxicity}
+    return {"op1_pack_documents": op1_pack_documents, "op2_mix_sources": op2_mix_sources, "op8_fingerprints": op8_fingerprints, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
