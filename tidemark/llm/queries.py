@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, media, mixing, packing, toxicity, warc
+from tidemark.llm import fingerprints, language_model, media, mixing, packing, toxicity, warc
 from tidemark.runtime import load
 
 
@@ -22,6 +22,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, load(spark, sf_dir, "pages"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.train_and_score(spark, load(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(spark, load(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack_documents": op1_pack_documents, "op2_mix_sources": op2_mix_sources, "op4_warc": op4_warc, "op8_fingerprints": op8_fingerprints, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+    return {"op1_pack_documents": op1_pack_documents, "op2_mix_sources": op2_mix_sources, "op4_warc": op4_warc, "op7_language_model": op7_language_model, "op8_fingerprints": op8_fingerprints, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
