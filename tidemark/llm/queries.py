@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprints, language_model, media, mixing, ngram_join, packing, substrings, toxicity, warc
+from tidemark.llm import fingerprints, language_model, media, mixing, ngram_join, packing, quality, substrings, toxicity, warc
 from tidemark.runtime import load
 
 
@@ -18,6 +18,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, load(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit_on(docs, load(spark, sf_dir, "labels")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, load(spark, sf_dir, "pages"))
 
@@ -48,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack_documents": op1_pack_documents, "op2_mix_sources": op2_mix_sources, "op4_warc": op4_warc, "op5_substring_dedup": op5_substring_dedup, "op6_ngram_join": op6_ngram_join, "op7_language_model": op7_language_model, "op8_fingerprints": op8_fingerprints, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+    return {"op1_pack_documents": op1_pack_documents, "op2_mix_sources": op2_mix_sources, "op3_quality": op3_quality, "op4_warc": op4_warc, "op5_substring_dedup": op5_substring_dedup, "op6_ngram_join": op6_ngram_join, "op7_language_model": op7_language_model, "op8_fingerprints": op8_fingerprints, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
