@@ -70,44 +70,52 @@ def mix(
     most: float = 2.0,
     seed: str = "mix",
     digits: int = 3,
-    keep: list[str] | None = None,
+    keep: list[Column] | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, with repeats).
 
     ``digits`` hexadecimal digits of the key name a range: 16**digits ranges a source.
-    ``keep`` names further columns of ``docs`` to carry along.
+    ``keep``: a column ``row`` to carry along.
     """
     weights = weights or [3.0, 1.0, 2.0]
     scratch = scratch or Scratch(spark, "mix")
     keep = keep or []
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # The source as a key that is never null, so that one exchange serves the window and the join.
+    skey = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     sized = scratch.table(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *keep).withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
-    )
-    targets = source_targets(sized.select("source", "size"), weights, share, most)
-    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = (
-        sized.groupBy("source", "range")
-        .agg(F.sum("size").alias("n"))
-        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), "offset")
+        docs.select("doc_id", "source", skey.alias("skey"), word_count(F.col("text")).alias("size"), key.alias("key"), *keep).withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
     )
+    targets = source_targets(sized.select("source", "size"), weights, share, most).withColumn("t_key", skey)
+    before = W.partitionBy("skey").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = sized.groupBy("skey", "range").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     plan = (
-        ranges.join(targets, F.col("r_source").eqNullSafe(F.col("source")))
-        .select("r_source", "r_range", "offset", "source_size", "target")
+        ranges.join(targets, F.col("skey") == F.col("t_key"))
+        .select("skey", "range", "offset", "source_size", "target")
         .withColumn("budget", F.floor(F.col("target")))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     )
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     run = sized.withColumn("upto", F.sum("size").over(inside))
     cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("offset") + F.col("upto") - F.col("size"))))
-    return run.join(plan, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), *keep
+    return run.join(plan, ["skey", "range"]).select(
+        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"), *[c for c in sized.columns if c == "row"]
     )
 
 
+def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them.
+
+    The document that crosses its source's cut is in if half of it or more is taken.
+    """
+    with Scratch(spark, "mixed") as scratch:
+        taken = mix(spark, docs, keep=[F.struct(*[docs[c] for c in docs.columns]).alias("row")], scratch=scratch)
+        copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+        return scratch.result(taken.filter("taken > 0").select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_")).select("row.*"))
+
+
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
