@@ -42,15 +42,19 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))
 
 
-def records(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """The WARC record of each page, without the blank lines that end it."""
+def records(pages: DataFrame, scratch: Scratch, least: int = 1000) -> DataFrame:
+    """The WARC record of each page, without the blank lines that end it.
+
+    The groups of equal payloads are written first, so that the join knows their size: few
+    of them are broadcast (under Spark's own limit), and pages are shuffled only for many.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
     rows = rows.withColumn("n", F.octet_length("html")).withColumn("digest", F.sha1("html"))
-    heads = rows.filter(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).filter("copies > 1").select(F.col("digest").alias("d"), F.col("n").alias("m"), "head")
+    heads = scratch.table(rows.filter(F.col("n") >= least).groupBy("digest", "n").agg(F.max("page_id").alias("head"), F.count("*").alias("copies")).filter("copies > 1").select(F.col("digest").alias("d"), F.col("n").alias("m"), "head"))
     told = rows.join(heads, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m")), "left")
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
     body = F.when(revisit, F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), F.col("html")))
@@ -72,9 +76,9 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     return told.select(F.concat(head, body).alias("value"))
 
 
-def write(pages: DataFrame, path: str, least: int = 1000, per_archive: int = 20_000) -> None:
+def write(pages: DataFrame, path: str, scratch: Scratch, least: int = 1000, per_archive: int = 20_000) -> None:
     """Archives of at most ``per_archive`` records under ``path``."""
-    records(pages, least).write.option("lineSep", _END).option("maxRecordsPerFile", per_archive).text(path)
+    records(pages, scratch, least).write.option("lineSep", _END).option("maxRecordsPerFile", per_archive).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -207,7 +211,7 @@ def archive_and_read(spark: SparkSession, pages: DataFrame, least: int = 1000) -
     """Write ``pages`` as WARC archives to the shared folder and return what reading them gives."""
     with Scratch(spark, "warc") as scratch:
         path = scratch.path("archives")
-        write(pages, path, least)
+        write(pages, path, scratch, least)
         return scratch.result(read(spark, path, scratch))
 
 
