@@ -37,20 +37,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = stream(1, 256) | _U(1)
 _BASE = 0x2545F4914F6CDD1D
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(22, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        with np.errstate(over="ignore"):
-            up = np.full(size, _U(_BASE))
-            up[0] = _U(1)
-            down = np.full(size, _U(pow(_BASE, -1, 1 << 64)))
-            down[0] = _U(1)
-            _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
+class _Powers:
+    """Powers of the hash's base and of its inverse, as far as asked for; they never travel with a pickled function."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, _U)
+
+    def __reduce__(self) -> tuple:
+        return _Powers, ()
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 1 << int(n).bit_length()
+            with np.errstate(over="ignore"):
+                up, down = np.full(size, _U(_BASE)), np.full(size, _U(pow(_BASE, -1, 1 << 64)))
+                up[0] = down[0] = _U(1)
+                self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        return self.up, self.down
+
+
+_powers = _Powers()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
