@@ -1,0 +1,476 @@
+"""Each operator against a brute-force version, on small fixtures with the odd cases in them."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from tidemark.llm import fingerprints, language_model, media, mixing, ngram_join, packing, quality, substrings, toxicity, warc
+from tidemark.llm.textnum import Words
+from tidemark.runtime import Scratch
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng: random.Random, n: int, vocabulary: int = 400) -> str:
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def rows_of(seed: int = 3) -> list[tuple]:
+    rng = random.Random(seed)
+    texts: list[str | None] = [words(rng, rng.randrange(5, 160)) for _ in range(60)]
+    passage = words(rng, 70, 10**6)
+    texts += [f"{words(rng, 30, 10**6)} {passage} {words(rng, 20, 10**6)}" for _ in range(4)]
+    base = words(rng, 120, 10**6).split()
+    for k in range(6):
+        copy = list(base)
+        for j in range(k):
+            copy[(j * 17) % 120] = f"x{k}{j}"
+        texts.append(" ".join(copy))
+    texts += [texts[0], texts[0], None, "", "  \t ", "one", "one two three", "One TWO\tthree", "ä é\x0bñ ü x y z", words(rng, 3000, 50), "a " * 200]
+    rows = [(i, t, "en", f"s{i % 3}" if i % 7 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    return [*rows, rows[5], (None, "no id here at all today", None, None, 5)]
+
+
+@pytest.fixture(scope="module")
+def rows() -> list[tuple]:
+    return rows_of()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(60)] + [(3, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_words_match_bytes_split():
+    texts = ["", " a  B\tc\n", "é È x", "q", "\x0b\x0c"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    w = Words(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    flat = [x for r in raw for x in r.lower().split()]
+    low = b"".join(raw).lower()
+    assert [low[a:b] for a, b in zip(w.start, w.end, strict=True)] == flat
+    assert len(set(w.hash.tolist())) == len(set(flat))
+
+
+# 1 packing
+
+
+def naive_fit(pieces: list[tuple], capacity: int) -> list[int]:
+    bins: list[tuple[int, set, set]] = []
+    out = []
+    for size, source, cluster in pieces:
+        fits = [(b[0], i) for i, b in enumerate(bins) if b[0] >= size and source not in b[1] and cluster not in b[2]]
+        if fits:
+            i = min(fits)[1]
+        else:
+            bins.append((capacity, set(), set()))
+            i = len(bins) - 1
+        bins[i] = (bins[i][0] - size, bins[i][1] | {source}, bins[i][2] | {cluster})
+        out.append(i)
+    return out
+
+
+def test_best_fit_is_the_tightest_compatible_bin():
+    rng = random.Random(1)
+    for _ in range(20):
+        pieces = sorted(((rng.randrange(0, 50), f"s{rng.randrange(4)}", rng.randrange(30)) for _ in range(80)), key=lambda p: -p[0])
+        assert packing.best_fit(pieces, 60) == naive_fit(pieces, 60)
+
+
+def test_pack(spark, docs, rows):
+    got = packing.pack(spark, docs, capacity=100, shard_rows=40).collect()
+    by_doc = collections.Counter()
+    bins = collections.defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id] += r.n_words
+        bins[r.bin_id].append(r)
+    want = collections.Counter()
+    for r in rows:
+        want[r[0]] += len(tokens(r[1]))
+    assert by_doc == want
+    for b in bins.values():
+        assert sum(r.n_words for r in b) == b[0].bin_words <= 100
+        assert len({r.source for r in b}) == len(b) == len({r.cluster for r in b})
+
+
+# 2 mixing
+
+
+def targets(sizes: dict, weights: list[float]) -> dict:
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    goal, out, open_ = 1.5 * sum(sizes.values()), {}, set(order)
+    while open_:
+        level = (goal - sum(out.values())) / sum(w[s] for s in open_)
+        over = {s for s in open_ if level * w[s] > 2 * sizes[s]}
+        if not over:
+            return out | {s: level * w[s] for s in open_}
+        out |= {s: 2.0 * sizes[s] for s in over}
+        open_ -= over
+    return out
+
+
+def test_mix(spark, docs, rows):
+    got = mixing.mix(spark, docs).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(tokens(r[1]))
+    want = targets(dict(sizes), [3.0, 1.0, 2.0])
+    source = {r[0]: r[3] for r in rows}
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == sizes[source[r.doc_id]]
+        assert math.isclose(r.target, want[source[r.doc_id]])
+        assert 0 <= r.taken <= 2 * r.size
+        taken[source[r.doc_id]] += r.taken
+    for s, t in want.items():
+        assert taken[s] == math.floor(t + 1e-9)
+    again = mixing.mix(spark, docs.repartition(5)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_mixed_rows(spark, docs):
+    taken = {(r.doc_id, r.size): r.taken for r in mixing.mix(spark, docs).collect()}
+    out = mixing.mixed(spark, docs)
+    assert out.columns == docs.columns
+    n = collections.Counter(r.doc_id for r in out.collect())
+    for (doc_id, size), t in taken.items():
+        if doc_id is not None and doc_id != 5:
+            assert abs(n[doc_id] - (t / size if size else 0)) <= 0.5
+
+
+# 3 quality
+
+
+def test_quality(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(300):
+        good = i % 2
+        text = words(rng, 40) if good else " ".join(f"{x}***" for x in words(rng, 40).split())
+        rows.append((i, text, "en", "s", 1))
+        labels.append((i, good, int(i % 3 == 0)))
+    docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.score(docs, quality.fit_on(docs, lab)).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert np.mean([r.selected == r.doc_id % 2 for r in held]) > 0.95
+    assert all(0 <= r.expected_grade <= 3 and 0 <= r.tail_probability <= 1 for r in got)
+
+
+def test_ordinal_likelihood_has_ordered_thresholds():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, quality.BINS + 6)).astype(np.float32) * 0.01
+    x[:, 0] = rng.normal(size=400)
+    grade = np.clip(np.round(x[:, 0] + 1.5), 0, 3).astype(int)
+    m = quality.fit(x, grade)
+    assert (np.diff(m.thresholds) > 0).all()
+    assert np.corrcoef(x @ m.weights, grade)[0, 1] > 0.9
+
+
+# 4 WARC
+
+
+def test_warc(spark):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    html = [None, "", "a" * 1500, "a" * 1500, "b" + inner + "é" * 600, inner, inner * 30, "WARC/1.1\r\n", "\r\n\r\nWARC/1.1\r\n", "é" * 499, "é" * 500, "é" * 500]
+    pages = [(i, f"http://x/{i}\r\n", h) for i, h in enumerate(html)] + [(None, None, "z" * 2000), (3, "u", "z" * 2000), (3, "u", "z" * 2000), (9, "k", "z" * 2000)]
+    head: dict = {}
+    for p, _, h in pages:
+        if p is not None:
+            head[h or ""] = max(head.get(h or "", -1), p)
+    want = []
+    for p, _, h in pages:
+        b = (h or "").encode()
+        again = len(b) >= 1000 and p != head.get(h or "")
+        want.append((p, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", head[h or ""] if again else None, True))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for parts in (1, 3):
+        got = warc.archive_and_read(spark, frame.repartition(parts)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified").collect()
+        assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
+
+
+def test_reachable_rejects_chains_inside_payloads():
+    offset = np.array([0, 10, 25, 40, 60])
+    following = np.array([40, 25, 60, 60, 90])
+    assert warc.reachable(offset, following).tolist() == [True, False, False, True, True]
+    assert not warc.reachable(offset + 1, following).any()
+
+
+# 5 substrings
+
+
+def test_windows_are_those_of_the_cartesian_tree():
+    rng = np.random.default_rng(2)
+    for n, least in ((30, 7), (64, 5), (100, 20)):
+        v = rng.integers(0, 2**63, n).astype(np.uint64)
+        doc = np.sort(rng.integers(0, 3, n))
+        got = set(zip(*(a.tolist() for a in substrings.windows(v, doc, least)), strict=True))
+        want = set()
+        for c in range(n):
+            a = b = c
+            while a > 0 and doc[a - 1] == doc[c] and v[a - 1] > v[c]:
+                a -= 1
+            while b < n - 1 and doc[b + 1] == doc[c] and v[b + 1] > v[c]:
+                b += 1
+            if b - a + 1 >= least:
+                want.add((c, a, b))
+        assert got == want
+
+
+def test_substrings_find_repeated_passages(spark, docs, rows):
+    got = substrings.find(spark, docs).collect()
+    found = collections.defaultdict(list)
+    texts = {r[0]: tokens(r[1]) for r in rows if r[0] is not None}
+    for r in got:
+        assert r.similarity >= 0.8 and r.doc_id > r.other_id
+        found[r.doc_id].append((r.start_word, r.start_word + r.n_words))
+    seen: dict = {}
+    for i in sorted(texts):
+        grams = [tuple(texts[i][j : j + 51]) for j in range(len(texts[i]) - 50)]
+        for j, g in enumerate(grams):
+            if g in seen and seen[g] != i and len(set(g)) > 40:
+                assert any(a <= j and j + 51 <= b for a, b in found[i]), (i, j)
+        for g in grams:
+            seen.setdefault(g, i)
+
+
+def test_substrings_remove(spark, docs):
+    out = {r.doc_id: r for r in substrings.remove(spark, docs).collect()}
+    assert set(out) >= {r.doc_id for r in docs.collect() if r.text and r.text.strip()} - {70, 71, 0} - set(range(65, 72))
+    first, later = tokens(out[60].text), [tokens(out[i].text) for i in (61, 62, 63)]
+    assert len(first) == 120 and all(len(x) == 50 for x in later)
+    assert all(r.n_chars is None or r.n_chars == len(r.text) for r in out.values() if r.text and r.doc_id is not None)
+
+
+# 6 n-gram join
+
+
+def brute_components(rows: list[tuple], k: int, percent: int) -> dict:
+    sets = {}
+    for r in rows:
+        w = tokens(r[1])
+        sets[r[0]] = frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = [i for i in sets if i is not None]
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_ngram_join(spark, docs, rows, k, percent):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark, docs, k, percent).collect() if r.doc_id is not None}
+    assert got == brute_components(rows, k, percent)
+
+
+def test_ngram_join_of_random_near_copies(spark):
+    rng = random.Random(11)
+    rows, i = [], 0
+    for _ in range(12):
+        base = words(rng, rng.randrange(30, 90), 10**6).split()
+        for _ in range(10):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            rows.append((i, " ".join(copy[: len(copy) - rng.randrange(0, 4)]), "en", "s", 1))
+            i += 1
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+def test_probe_counts_like_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)) for _ in "ab")
+        both = len(np.intersect1d(a, b))
+        assert ngram_join.probe(a, b, 60) == (100 * both >= 60 * (len(a) + len(b) - both) and both > 0)
+
+
+# 7 language model
+
+
+def test_language_model_base_score(spark, docs, rows):
+    got = [r for r in language_model.train_and_score(spark, docs).collect() if r.doc_id is not None]
+    count = collections.Counter()
+    for r in rows:
+        if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 10:
+            count.update([*tokens(r[1]), None])
+    n, v = sum(count.values()), len(count)
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        t = [*tokens(text[r.doc_id]), None]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[x] > 0 for x in t), n)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+        assert math.isclose(r.base_score, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t), rel_tol=1e-9)
+        assert r.score < 0
+
+
+def test_language_model_is_a_distribution_and_head_changes_nothing(spark, docs):
+    with Scratch(spark, "test") as scratch:
+        model = language_model.train(docs.select("doc_id", "text"), scratch)
+        table = model.words.collect()
+        for x in range(language_model.CLASSES + 1):
+            total = float((model.spares[:, x] * model.unknown).mean())
+            for r in table:
+                total += 10 ** r.p[r.xs.index(x)] if x in r.xs else float((model.spares[:, x] * np.array(r.roots)).mean())
+            assert math.isclose(total, 1.0, rel_tol=1e-6)
+        few, many = (sorted((r.doc_id or -1, round(r.score, 6), round(r.base_score, 6)) for r in language_model.score(spark, docs, model, scratch, most).collect()) for most in (20, 1 << 17))
+        assert few == many
+
+
+# 8 fingerprints
+
+
+def test_fingerprints(spark, rows):
+    plain = [r for r in rows if r[0] is not None and r is not rows[-2]][:78]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(spark, spark.createDataFrame(plain, SCHEMA)).collect()}
+    order = sorted(plain, key=lambda r: -r[0])
+    errors = []
+    for i, r in enumerate(order):
+        text, following = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        g = got[r[0]]
+        assert g.n_chars == len(text) and g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = collections.Counter(tokens(text)), collections.Counter(tokens(edited))
+        union = sum((a | b).values())
+        errors.append(g.near_edited - (sum((a & b).values()) / union if union else 1.0))
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.15
+    assert got[0].fingerprint == got[70].fingerprint == got[71].fingerprint
+
+
+# 9 media
+
+
+def test_media_round_trip(spark, docs, rows):
+    text = {r[0]: (r[1] or "").encode() for r in rows}
+    got = media.store_and_read(spark, docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        b = text[r.doc_id]
+        payload = b + bytes(-len(b) % 64 if b else 64)
+        stored = media.wav(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(b), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-64:])
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == media.feature(payload)
+
+
+def test_cuts_follow_content():
+    rng = np.random.default_rng(9)
+    data = rng.integers(0, 256, 300_000).astype(np.uint8).tobytes()
+    ends = media.cuts(data, 1024, 11, 16384)
+    assert ends[-1] == len(data) and max(np.diff([0, *ends])) <= 16384
+    moved = media.cuts(b"x" * 777 + data, 1024, 11, 16384)
+    pieces = {data[a:b] for a, b in zip([0, *ends], ends, strict=False)}
+    shifted = b"x" * 777 + data
+    again = [shifted[a:b] for a, b in zip([0, *moved], moved, strict=False)]
+    assert np.mean([p in pieces for p in again]) > 0.9
+    slow, h = [], 0
+    gear = media._GEAR.astype(int)
+    at = 0
+    for i, byte in enumerate(data[:60_000]):
+        h = ((h << 1) + int(gear[byte])) & 0xFFFFFFFF
+        if (i + 1 - at >= 1024 and h >> 21 == 0) or i + 1 - at == 16384:
+            slow.append(i + 1)
+            at = i + 1
+    assert slow == [e for e in ends if e <= 60_000][: len(slow)]
+
+
+# 10 toxicity
+
+
+def test_toxicity(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        t = words(rng, 40).split()
+        for _ in range(4 if bad else 0):
+            t[rng.randrange(40)] = rng.choice(["idiot", "zorgle", "st0rk"])
+        rows.append((i, " ".join(t), "en", "s", 1))
+        labels.append((i, 1, int(bad)))
+    docs, lab = spark.createDataFrame([*rows, (1000, None, None, None, None)], SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(spark, docs, toxicity.fit_on(spark, docs, lab)).collect()}
+    held = [r for r in got.values() if r.held_out and r.doc_id < 1000]
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
+    kept = {r.doc_id for r in toxicity.keep_clean(spark, docs, lab).collect()}
+    assert kept == {i for i, r in got.items() if r.predicted == 0}
+
+
+def test_isotonic_is_monotone():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    a, b = toxicity.isotonic(x, y)
+    assert (np.diff(a) >= 0).all() and (np.diff(b) >= 0).all()
+
+
+# Odd tables
+
+APPLY = {
+    "pack": lambda s, d, lab: packing.pack(s, d),
+    "mix": lambda s, d, lab: mixing.mix(s, d),
+    "mixed": lambda s, d, lab: mixing.mixed(s, d),
+    "quality": lambda s, d, lab: quality.score(d, quality.fit_on(d, lab)),
+    "substrings": lambda s, d, lab: substrings.find(s, d),
+    "remove": lambda s, d, lab: substrings.remove(s, d),
+    "join": lambda s, d, lab: ngram_join.join(s, d),
+    "keep_one": lambda s, d, lab: ngram_join.keep_one(s, d),
+    "language_model": lambda s, d, lab: language_model.train_and_score(s, d),
+    "fingerprints": lambda s, d, lab: fingerprints.fingerprint_edits(s, d),
+    "media": lambda s, d, lab: media.store_and_read(s, d),
+    "toxicity": lambda s, d, lab: toxicity.score(s, d, toxicity.fit_on(s, d, lab)),
+    "keep_clean": lambda s, d, lab: toxicity.keep_clean(s, d, lab),
+}
+KEEPS_ROWS = {"mix", "quality", "join", "language_model", "fingerprints", "media", "toxicity"}
+
+
+@pytest.mark.parametrize("name", APPLY)
+def test_empty_table(spark, docs, labels, name):
+    assert APPLY[name](spark, docs.filter("false"), labels).count() == 0
+
+
+def test_empty_pages(spark):
+    assert warc.archive_and_read(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("name", APPLY)
+def test_nulls_repeats_and_clashing_columns(spark, rows, labels, name):
+    clash = ["score", "row", "key", "size", "class", "kept", "spans", "cut_id", "w", "range", "g", "taken", "shard", "component_id"]
+    odd = [(*r, *range(len(clash))) for r in [*rows[:70:7], *rows[-12:], (None, None, None, None, None)]]
+    docs = spark.createDataFrame(odd, SCHEMA + "".join(f", `{c}` int" for c in clash))
+    out = APPLY[name](spark, docs, labels)
+    n = out.count()
+    if name in KEEPS_ROWS:
+        assert n == len(odd)
+    if name in ("mixed", "remove", "keep_one", "keep_clean"):
+        assert out.columns == docs.columns

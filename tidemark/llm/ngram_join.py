@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.textnum import Words, longs, mix64, slices, stream
-from tidemark.runtime import Scratch, shuffle_partitions
+from tidemark.runtime import Scratch, fresh, shuffle_partitions
 
 SKETCH = 1 << 21
 _SLICES = 32
@@ -308,8 +308,9 @@ def join(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 85) ->
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, that are alone or first (by id) of their component."""
+    """The documents, with all their columns, that are alone or first (by id) of their component; rows without an id stay."""
     with Scratch(spark, "ngram-keep") as scratch:
         linked = link(spark, docs, scratch, k, percent)
-        first = scratch.result(linked.filter("component_id = doc_id or component_id is null or doc_id is null").select(F.col("doc_id").alias("kept")).distinct())
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+        kept = fresh(docs, "kept")
+        first = scratch.result(linked.filter("component_id = doc_id or component_id is null or doc_id is null").select(F.col("doc_id").alias(kept)).distinct())
+    return docs.join(first, docs["doc_id"].eqNullSafe(first[kept]), "left_semi")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.textnum import _BYTE, Words, _powers, mix64, slices
+from tidemark.runtime import fresh
 
 #: Second-person pronouns of the four languages.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deinen ihr euch tu te toi ton ta tes vous votre vos usted ustedes tú ti tus vosotros".split()
@@ -320,11 +321,13 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str | list[str],
     return rows.select("doc_id", "text", *names).limit(max_rows).toArrow().sort_by("doc_id")
 
 
-def scorer(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def scorer(model: Model, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole rows with the score of their text as column ``name``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
             rest = [rows.column(i) for i in range(rows.num_columns)]
-            yield pa.record_batch([*rest, pa.array(model.score(data, offsets))], names=[*rows.schema.names, "score"])
+            yield pa.record_batch([*rest, pa.array(model.score(data, offsets))], names=[*rows.schema.names, name])
 
     return run
 
@@ -351,8 +354,9 @@ def _scores(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
     """The documents, whole and with all their columns, whose score stays under ``limit``."""
     model = fit_on(spark, docs, labels)
-    scored = docs.mapInArrow(scorer(model), f"{_ddl(docs)}, score double")
-    return scored.filter(F.col("score") < limit).drop("score")
+    name = fresh(docs, "score")
+    scored = docs.mapInArrow(scorer(model, name), f"{_ddl(docs)}, `{name}` double")
+    return scored.filter(F.col(name) < limit).drop(name)
 
 
 def _ddl(df: DataFrame) -> str:
