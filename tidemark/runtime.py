@@ -96,6 +96,7 @@ class Scratch:
         self.id = f"{name}-{uuid.uuid4().hex}"
         self.root = f"{shared_dir(spark)}/{self.id}"
         self._n = 0
+        self._paths: dict[int, str] = {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -113,7 +114,15 @@ class Scratch:
         return f"{self.root}/tmp/{name}{self._n}"
 
     def table(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        return self._write(df, self.path(), codec)
+        path = self.path()
+        written = self._write(df, path, codec)
+        self._paths[id(written)] = path
+        return written
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Tables that nothing reads any more go before the run ends."""
+        for t in tables:
+            delete(self.spark, self._paths.pop(id(t)))
 
     def result(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self._n += 1
