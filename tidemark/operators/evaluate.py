@@ -125,7 +125,8 @@ def curve_summary(points: DataFrame, mode: str = "compat") -> DataFrame:
     spark = points.sparkSession
     roc, pr = points.select("fpr", "tpr", "place"), points.select("recall", "precision", "place")
     if mode == "standard":
-        roc = roc.unionByName(spark.createDataFrame([(0.0, 0.0, -1), (1.0, 1.0, 2**62)], "fpr double, tpr double, place long"))
+        finite = points.filter(F.col("threshold") < float("inf")).select("fpr", "tpr", "place")
+        roc = finite.unionByName(spark.createDataFrame([(0.0, 0.0, -1), (1.0, 1.0, 2**62)], "fpr double, tpr double, place long"))
     best = points.agg(
         *[F.max(F.struct(F.col(n).alias("v"), (-F.col("place")).alias("o"), F.col("threshold").alias("t"))).alias(f"best_{n}") for n in ("f1", "mcc", "precision", "recall")],
         *[F.min(F.struct(F.col(n).alias("v"), F.col("place").alias("o"), F.col("threshold").alias("t"))).alias(f"best_{n}") for n in ("far", "mar")],
