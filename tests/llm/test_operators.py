@@ -234,6 +234,26 @@ def test_windows_are_those_of_the_cartesian_tree():
         assert got == want
 
 
+def test_equal_hashes_end_no_window():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n, least = 60, 9
+        v = (rng.integers(0, 12, n) << 30).astype(np.uint64)
+        doc = np.sort(rng.integers(0, 2, n))
+        got = set(zip(*(a.tolist() for a in substrings.windows(v, doc, least)), strict=True))
+        want = set()
+        for c in range(n):
+            a = b = c
+            while a > 0 and doc[a - 1] == doc[c] and v[a - 1] >= v[c]:
+                a -= 1
+            while b < n - 1 and doc[b + 1] == doc[c] and v[b + 1] >= v[c]:
+                b += 1
+            first = any(doc[i] == doc[i + least - 1] == doc[c] and int(np.argmin(v[i : i + least])) + i == c for i in range(max(0, c - least + 1), min(c, n - least) + 1))
+            if first:
+                want.add((c, a, b))
+        assert got == want
+
+
 def test_substrings_find_repeated_passages(spark, docs, rows):
     got = substrings.find(spark, docs).collect()
     found = collections.defaultdict(list)
