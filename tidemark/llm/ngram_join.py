@@ -262,7 +262,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     pairs = scratch.table(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     chosen = reps.join(wanted, F.col("class") == F.col("c")).select(F.col("doc_id").alias("rep"), "class")
-    found = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "text")
+    # Both sides grow with the input: neither is broadcast at any size.
+    found = docs.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "text")
     held = scratch.table(found.mapInArrow(_set_rows(k), "class long, set binary").groupBy("class").agg(F.first("set").alias("set")), "uncompressed")
     a = held.select(F.col("class").alias("ca"), F.col("set").alias("set_a"))
     b = held.select(F.col("class").alias("cb"), F.col("set").alias("set_b"))
@@ -313,4 +314,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80
         linked = link(spark, docs, scratch, k, percent)
         kept = fresh(docs, "kept")
         first = scratch.result(linked.filter("component_id = doc_id or component_id is null or doc_id is null").select(F.col("doc_id").alias(kept)).distinct())
-    return docs.join(first, docs["doc_id"].eqNullSafe(first[kept]), "left_semi")
+    return docs.join(first.hint("merge"), docs["doc_id"].eqNullSafe(first[kept]), "left_semi")
