@@ -271,6 +271,63 @@ def test_substrings_find_repeated_passages(spark, docs, rows):
             seen.setdefault(g, i)
 
 
+def edited(words: list[str], at: list[int]) -> list[str]:
+    return [f"edit{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def grams(words: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(len(words) - 4)], np.uint64)
+
+
+@pytest.mark.parametrize(("n", "at"), [(51, [25]), (51, [0]), (51, [2]), (60, [30]), (89, [44]), (100, [33, 66]), (150, [38, 75, 112])])
+def test_edited_passages_match(n, at):
+    rng = random.Random(n)
+    passage = words(rng, n, 10**6).split()
+    a = [*words(rng, 20, 10**6).split(), *passage, *words(rng, 20, 10**6).split()]
+    b = [*words(rng, 35, 10**6).split(), *edited(passage, at), *words(rng, 9, 10**6).split()]
+    (x0, x1, y0, y1, j), = substrings.matches(grams(a), grams(b), 47, 0.8)
+    assert j >= 0.8 and min(x1 - x0, y1 - y0) >= 46
+    # All but words at the ends that no shared shingle holds.
+    inner = [i for i in range(n) if any(not set(range(s, s + 5)) & set(at) for s in range(max(0, i - 4), min(i, n - 5) + 1))]
+    assert x0 <= 20 + inner[0] and 20 + inner[-1] <= x1 + 4 and y0 <= 35 + inner[0] and 35 + inner[-1] <= y1 + 4
+
+
+def test_matches_equal_brute_force():
+    rng = np.random.default_rng(8)
+    least, n_found = 10, 0
+    for _ in range(25):
+        a = rng.choice(10**6, 26, replace=False).astype(np.uint64)
+        b = a[int(rng.integers(0, 8)) :].copy()
+        b[rng.choice(len(b), int(rng.integers(0, 5)), replace=False)] += np.uint64(10**7)
+        b = np.delete(b, rng.choice(len(b), int(rng.integers(0, 3)), replace=False))
+        got = substrings.matches(a, b, least, 0.8)
+        # Shared places of all pairs of stretches, from counts over both sequences' beginnings.
+        count = np.zeros((len(a) + 1, len(b) + 1), int)
+        count[1:, 1:] = (a[:, None] == b[None, :]).cumsum(0).cumsum(1)
+        for x0 in range(len(a) - least + 1):
+            for x1 in range(x0 + least, len(a) + 1):
+                strip = count[x1] - count[x0]
+                s = strip[None, :] - strip[:, None]
+                size = x1 - x0 + np.arange(len(b) + 1)[None, :] - np.arange(len(b) + 1)[:, None]
+                long = size - (x1 - x0) >= least
+                for y0, y1 in np.argwhere(long & (s > 0) & (s >= 0.8 * (size - s) - 1e-9)):
+                    held = [x for x in range(x0, x1) if a[x] in b[y0:y1]]
+                    assert any(g[0] <= held[0] and held[-1] <= g[1] for g in got)
+                    n_found += 1
+        assert all(j >= 0.8 and x1 - x0 >= least - 1 and y1 - y0 >= least - 1 for x0, x1, y0, y1, j in got)
+    assert n_found
+
+
+def test_substrings_find_an_edited_passage(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(20):
+        passage = words(rng, 60, 10**6).split()
+        texts += [" ".join([words(rng, 30, 10**6), *p, words(rng, 30, 10**6)]) for p in (passage, edited(passage, [30]))]
+    got = substrings.find(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len({(r.other_id, r.doc_id) for r in got} & {(2 * i, 2 * i + 1) for i in range(20)}) >= 19
+
+
 def test_substrings_remove(spark, docs):
     out = {r.doc_id: r for r in substrings.remove(spark, docs).collect()}
     assert set(out) >= {r.doc_id for r in docs.collect() if r.text and r.text.strip()} - {70, 71, 0} - set(range(65, 72))
