@@ -6,6 +6,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark.plans import catalog
@@ -46,6 +47,15 @@ def test_query_has_rows(spark, name):
     assert not catalog.QUERIES[name](spark, DATA).isEmpty()
 
 
+def test_knn_detector_equals_brute_force_over_all_dimensions(spark, duck):
+    ids, vectors = zip(*duck.execute("select vec_id, embedding from embeddings").fetchall(), strict=True)
+    v = np.array(vectors, float)
+    assert v.shape[1] == 64
+    scores = np.sort(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 1)[:, 4]
+    want = dict(zip(ids, (scores > np.percentile(scores, 95)).astype(int).tolist(), strict=True))
+    assert {r.vec_id: r.label for r in catalog.QUERIES["det_knn_detector"](spark, DATA).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -62,10 +62,11 @@ def det_residual_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DIMS = 8
+_ALL_DIMS = 64
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(_DIMS)])
+def _points(spark: SparkSession, d: str, dims: int = _DIMS) -> DataFrame:
+    return load(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(dims)])
 
 
 def _knn_sql(aggregate: str, metric: str) -> str:
@@ -89,8 +90,8 @@ for _a in ("maximum", "mean", "median"):
 
 @query("det_knn_detector")
 def det_knn_detector(spark: SparkSession, d: str) -> DataFrame:
-    points = _points(spark, d)
-    return D.KnnDetector(tuple(f"x{i}" for i in range(_DIMS))).fit(points).run(points).select("vec_id", "label")
+    points = _points(spark, d, _ALL_DIMS)
+    return D.KnnDetector(tuple(f"x{i}" for i in range(_ALL_DIMS))).fit(points).run(points).select("vec_id", "label")
 
 
 _PCA2 = """
