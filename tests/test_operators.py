@@ -211,3 +211,25 @@ def test_streams(spark, tmp_path):
     assert {r.n for r in even.collect()} == {5}
     with pytest.raises(NotFitted):
         online.apply(stream, [detect.ZScore(("v",))])
+
+
+def test_missing_tokens_units_and_names(spark):
+    cells = spark.createDataFrame([(v,) for v in (" NIL ", "#N/A", "--", "missing", "0", None, "")], "v string")
+    assert column(prep.normalise_na(cells, ["v"]), "v") == [None, None, None, "missing", "0", None, None]
+    assert prep.unit_of("温度（℃）") == ("温度", "℃") and prep.unit_of("压力（kPa)") == ("压力", "kPa")
+    one = spark.createDataFrame([(212.0,)], "x double")
+    convert = lambda a, b: one.select(prep.convert_unit(F.col("x"), a, b).alias("y")).first().y
+    assert [convert("fahrenheit", "℃"), convert("mbar", "kpa"), convert("ua", "amp"), convert("mg", "g"), convert("us", "ms")] == pytest.approx([100.0, 21.2, 2.12e-4, 0.212, 0.212])
+    for a, b in (("rpm", "hz"), ("psi", "pa"), ("v", "kg")):
+        with pytest.raises(ValueError, match="unit|is"):
+            prep.convert_unit(F.col("x"), a, b)
+
+
+def test_precision_recovery_of_uneven_counts(spark):
+    rows = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, 0, m)) for m, n in ((0, 4), (1, 7)) for i in range(n)], "i int, t timestamp_ntz")
+    out = prep.recover_precision(rows, "t", ["i"], uneven="null").filter("minute(t) = 0").orderBy("i")
+    start = column(out, "recovered")[0]
+    assert [v - start for v in column(out, "recovered")] == [0, 15_000_000, 30_000_000, 45_000_000]
+    assert set(column(prep.recover_precision(rows, "t", ["i"], uneven="null").filter("minute(t) = 1"), "recovered")) == {None}
+    with pytest.raises(Exception, match="evenly"):
+        prep.recover_precision(rows, "t", ["i"]).collect()

@@ -15,23 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 #: Cells that count as missing, trimmed and lower-cased.
-NA_TOKENS = ("", "na", "n/a", "nan", "null", "none", "-", "--", "#n/a", "missing")
+NA_TOKENS = ("", "na", "n/a", "#n/a", "nan", "null", "none", "-", "--", "nil")
 
-#: Unit -> (class, factor to the class's base unit).
+#: Unit -> (class, factor to the class's base unit). Degrees have no factor.
 UNITS = {
-    "v": ("voltage", 1.0), "mv": ("voltage", 1e-3), "kv": ("voltage", 1e3),
-    "a": ("current", 1.0), "ma": ("current", 1e-3), "ka": ("current", 1e3), "amps": ("current", 1.0),
-    "w": ("power", 1.0), "mw": ("power", 1e-3), "kw": ("power", 1e3),
-    "pa": ("pressure", 1.0), "kpa": ("pressure", 1e3), "mpa": ("pressure", 1e6), "bar": ("pressure", 1e5), "psi": ("pressure", 6894.757293168),
-    "m": ("length", 1.0), "mm": ("length", 1e-3), "cm": ("length", 1e-2), "km": ("length", 1e3), "um": ("length", 1e-6),
-    "s": ("time", 1.0), "ms": ("time", 1e-3), "min": ("time", 60.0), "h": ("time", 3600.0),
-    "hz": ("frequency", 1.0), "khz": ("frequency", 1e3), "mhz": ("frequency", 1e6), "rpm": ("frequency", 1 / 60),
-    "kg": ("mass", 1.0), "g": ("mass", 1e-3), "t": ("mass", 1e3),
-    "m/s": ("speed", 1.0), "mm/s": ("speed", 1e-3), "km/h": ("speed", 1 / 3.6),
-    "%": ("ratio", 1e-2), "ratio": ("ratio", 1.0),
+    "a": ("current", 1.0), "amp": ("current", 1.0), "amps": ("current", 1.0), "ma": ("current", 0.001), "ua": ("current", 0.000001),
+    "v": ("voltage", 1.0), "mv": ("voltage", 0.001), "kv": ("voltage", 1000.0),
+    "w": ("power", 1.0), "kw": ("power", 1000.0), "mw": ("power", 0.001),
+    "celsius": ("temperature", None), "c": ("temperature", None), "fahrenheit": ("temperature", None), "f": ("temperature", None), "k": ("temperature", None),
+    "hz": ("frequency", 1.0), "khz": ("frequency", 1000.0), "mhz": ("frequency", 1000000.0),
+    "pa": ("pressure", 1.0), "kpa": ("pressure", 1000.0), "mpa": ("pressure", 1000000.0), "bar": ("pressure", 100000.0), "mbar": ("pressure", 100.0),
+    "rpm": ("rpm", 1.0),
+    "g": ("mass", 1.0), "mg": ("mass", 0.001), "kg": ("mass", 1000.0), "t": ("mass", 1000000.0),
+    "mm": ("length", 1.0), "cm": ("length", 10.0), "m": ("length", 1000.0), "km": ("length", 1000000.0), "um": ("length", 0.001),
+    "s": ("duration", 1.0), "ms": ("duration", 0.001), "us": ("duration", 0.000001),
+    "rms": ("dimensionless", 1.0), "%": ("dimensionless", 1.0), "db": ("dimensionless", 1.0),
 }
-ALIASES = {"°c": "c", "℃": "c", "celsius": "c", "°f": "f", "℉": "f", "amp": "a"}
-_TEMPERATURE = ("c", "f", "k")
+#: Other spellings of units.
+ALIASES = {"°c": "celsius", "℃": "celsius", "°f": "fahrenheit", "℉": "fahrenheit", "amp": "amps"}
+_DEGREES = {"celsius": "c", "c": "c", "fahrenheit": "f", "f": "f", "k": "k"}
 
 
 def is_na(c: str | Column) -> Column:
@@ -85,7 +87,7 @@ def convert_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def unit_of(name: str) -> tuple[str, str | None]:
     """A column name without its unit, and the unit: in brackets at the end, or a known suffix after ``_``."""
-    if m := re.fullmatch(r"(.*?)\s*[((]\s*([^()()]+?)\s*[))]\s*", name):
+    if m := re.fullmatch(r"(.*?)\s*[(\uff08]\s*([^()\uff08\uff09]+?)\s*[)\uff09]\s*", name):
         return m[1], m[2]
     for size in range(len(name)):
         tail = name[size:]
@@ -104,14 +106,15 @@ def convert_unit(c: Column, source: str, target: str) -> Column:
     a, b = canonical(source), canonical(target)
     if a == b:
         return c
-    if a in _TEMPERATURE and b in _TEMPERATURE:
-        celsius = {"c": c, "f": (c - 32) * 5 / 9, "k": c - 273.15}[a]
-        return {"c": celsius, "f": celsius * 9 / 5 + 32, "k": celsius + 273.15}[b]
     if a not in UNITS or b not in UNITS:
         raise ValueError(f"unknown unit {source!r} or {target!r}")
     if UNITS[a][0] != UNITS[b][0]:
         raise ValueError(f"{source} is {UNITS[a][0]}, {target} is {UNITS[b][0]}")
-    value = c * F.lit(UNITS[a][1] / UNITS[b][1])
+    if a in _DEGREES:
+        celsius = {"c": c, "f": (c - 32) * 5 / 9, "k": c - 273.15}[_DEGREES[a]]
+        value = {"c": celsius, "f": celsius * 9 / 5 + 32, "k": celsius + 273.15}[_DEGREES[b]]
+    else:
+        value = c * F.lit(UNITS[a][1] / UNITS[b][1])
     near = F.round(value, 6)
     return F.when(F.abs(value - near) < 1e-9, near).otherwise(value)
 
@@ -288,15 +291,19 @@ def fill(df: DataFrame, value: str, order_by: list[str], partition_by: list[str]
     return rows.withColumn("filled", F.when(F.col("_long"), None).otherwise(filled)).drop("_rn", "_none", "_island", "_long", "_part")
 
 
-def recover_precision(df: DataFrame, time: str, order_by: list[str], partition_by: list[str] | None = None) -> DataFrame:
+def recover_precision(df: DataFrame, time: str, order_by: list[str], partition_by: list[str] | None = None, uneven: str = "error") -> DataFrame:
     """Rows that share a minute's stamp, spread evenly over the minute in their order (``recovered``).
 
-    A count that does not divide a minute into whole microseconds is an error.
+    A count that does not divide a minute into whole microseconds is an error, or with ``uneven``
+    "null" leaves its rows without a recovered time, so that a report can name them.
     """
+    if uneven not in ("error", "null"):
+        raise ValueError("uneven counts are an 'error' or 'null'")
     by = [*(partition_by or []), time]
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     i = F.row_number().over(Window.partitionBy(*by).orderBy(*order_by)) - 1
-    step = F.when(F.lit(60_000_000) % n != 0, F.raise_error(F.lit("a minute does not divide evenly")).cast("long")).otherwise((F.lit(60_000_000) / n).cast("long"))
+    refused = F.raise_error(F.lit("a minute does not divide evenly")).cast("long") if uneven == "error" else F.lit(None).cast("long")
+    step = F.when(F.lit(60_000_000) % n != 0, refused).otherwise((F.lit(60_000_000) / n).cast("long"))
     return df.withColumn("recovered", (F.unix_micros(F.col(time).cast("timestamp")) + i * step).cast("long"))
 
 

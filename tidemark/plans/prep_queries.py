@@ -14,7 +14,7 @@ from tidemark.runtime import load
     "prep_profile",
     """
 WITH x AS (SELECT 'c_name' AS column, c_name AS v FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR FROM customer),
-t AS (SELECT *, CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'na', 'n/a', 'nan', 'null', 'none', '-', '--', '#n/a', 'missing') THEN 'none' WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN 'int' ELSE 'str' END AS kind FROM x)
+t AS (SELECT *, CASE WHEN v IS NULL OR lower(trim(v)) IN ('', 'na', 'n/a', '#n/a', 'nan', 'null', 'none', '-', '--', 'nil') THEN 'none' WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN 'int' ELSE 'str' END AS kind FROM x)
 SELECT "column", count(*) AS n_rows, count(*) FILTER (kind = 'none') AS n_missing, count(DISTINCT v) FILTER (kind <> 'none') AS n_distinct, count(*) FILTER (kind = 'int') AS n_int, min(TRY_CAST(v AS DOUBLE)) FILTER (kind = 'int') AS min_value, max(TRY_CAST(v AS DOUBLE)) FILTER (kind = 'int') AS max_value
 FROM t GROUP BY 1
 """,
@@ -24,12 +24,11 @@ def prep_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("column", "n_rows", "n_missing", "n_distinct", "n_int", "min_value", "max_value")
 
 
-@query("prep_na", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN NULL ELSE event_type END AS event_type FROM (SELECT event_id, event_type FROM events)")
+@query("prep_na", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') OR event_id % 7 IN (0, 1) THEN NULL WHEN event_id % 7 = 2 THEN 'missing' ELSE event_type END AS event_type FROM (SELECT event_id, event_type FROM events)")
 def prep_na(spark: SparkSession, d: str) -> DataFrame:
-    events = load(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", " N/A ").when(F.col("event_type") == "view", "None").otherwise(F.col("event_type")).alias("event_type"))
-    return P.normalise_na(events, ["event_type"])
-
-
+    kind, rest = F.col("event_type"), F.col("event_id") % 7
+    cell = F.when(kind == "click", " N/A ").when(kind == "view", "None").when(rest == 0, "nil").when(rest == 1, " NIL").when(rest == 2, "missing").otherwise(kind)
+    return P.normalise_na(load(spark, d, "events").select("event_id", cell.alias("event_type")), ["event_type"])
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
@@ -47,10 +46,10 @@ def prep_type(spark: SparkSession, d: str) -> DataFrame:
     return P.convert_types(_typed(spark, d), {"cell": "float"})
 
 
-@query("prep_unit", "SELECT p_partkey, round(p_retailprice * 0.001::DOUBLE, 6) AS kilo, round(p_size::DOUBLE * 9 / 5 + 32, 6) AS fahrenheit, round(p_size::DOUBLE * 60, 6) AS rpm FROM part")
+@query("prep_unit", "SELECT p_partkey, round(p_retailprice * 0.001::DOUBLE, 6) AS kilo, round(p_size::DOUBLE * 9 / 5 + 32, 6) AS fahrenheit, round(p_size::DOUBLE * 100, 6) AS pascal, round((p_size::DOUBLE - 32) * 5 / 9 + 273.15, 6) AS kelvin, round(p_size::DOUBLE * 0.000001, 9) AS amps, round(p_size::DOUBLE / 1000000, 9) AS seconds, round(p_size::DOUBLE / 1000, 6) AS grams FROM part")
 def prep_unit(spark: SparkSession, d: str) -> DataFrame:
     part = load(spark, d, "part")
-    return part.select("p_partkey", F.round(P.convert_unit(F.col("p_retailprice"), "mw", "W"), 6).alias("kilo"), F.round(P.convert_unit(F.col("p_size").cast("double"), "°C", "f"), 6).alias("fahrenheit"), F.round(P.convert_unit(F.col("p_size").cast("double"), "hz", "rpm"), 6).alias("rpm"))
+    return part.select("p_partkey", F.round(P.convert_unit(F.col("p_retailprice"), "mw", "W"), 6).alias("kilo"), F.round(P.convert_unit(F.col("p_size").cast("double"), "°C", "f"), 6).alias("fahrenheit"), *[F.round(P.convert_unit(F.col("p_size").cast("double"), a, b), digits).alias(name) for name, a, b, digits in (("pascal", "mbar", "Pa", 6), ("kelvin", "Fahrenheit", "k", 6), ("amps", "uA", "amp", 9), ("seconds", "us", "s", 9), ("grams", "mg", "g", 6))])
 
 
 _CODES = "c AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM orders GROUP BY 1)"
@@ -155,14 +154,18 @@ def prep_segments(spark: SparkSession, d: str) -> DataFrame:
     return P.segments(_holes(spark, d), ["x"], ["ts", "event_id"], ["user_id"]).select("event_id", "segment")
 
 
-@query("prep_precision_recovery", "WITH m AS (SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderdate) AS n FROM (SELECT o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) <= 4 AND count(*) OVER (PARTITION BY o_orderdate) >= 4)) SELECT o_orderkey, (epoch_us(o_orderdate) + i * (60000000 // n))::BIGINT AS recovered FROM m")
+@query("prep_precision_recovery", "WITH m AS (SELECT o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderdate) AS n FROM orders) SELECT o_orderkey, CASE WHEN 60000000 % n = 0 THEN (epoch_us(o_orderdate) + i * (60000000 // n))::BIGINT END AS recovered FROM m")
 def prep_precision_recovery(spark: SparkSession, d: str) -> DataFrame:
-    """Days with four orders or more, four of each, as runs of equal stamps."""
-    from pyspark.sql import Window
+    """Every order, a day's orders as a run of equal stamps; days whose count does not divide a minute have no recovered times."""
+    return P.recover_precision(load(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", ["o_orderkey"], uneven="null").select("o_orderkey", "recovered")
+
 
-    w = Window.partitionBy("o_orderdate")
-    rows = load(spark, d, "orders").select("o_orderkey", "o_orderdate", F.row_number().over(w.orderBy("o_orderkey")).alias("k"), F.count("*").over(w).alias("n"))
-    return P.recover_precision(rows.filter("k <= 4 and n >= 4").select("o_orderkey", "o_orderdate"), "o_orderdate", ["o_orderkey"]).select("o_orderkey", "recovered")
+@query("prep_unit_names", "SELECT n_name, n_name || '_x' AS base, CASE n_nationkey % 4 WHEN 0 THEN '℃' WHEN 1 THEN 'kPa' WHEN 2 THEN NULL ELSE 'mm' END AS unit FROM nation")
+def prep_unit_names(spark: SparkSession, d: str) -> DataFrame:
+    """Units in full-width and plain brackets; names come from the table's rows as column names would."""
+    rows = load(spark, d, "nation").select("n_name", "n_nationkey").collect()
+    heads = ["{}_x（℃）", "{}_x (kPa)", "{}_x", "{}_x（mm)"]
+    return spark.createDataFrame([(r.n_name, *P.unit_of(heads[r.n_nationkey % 4].format(r.n_name))) for r in rows], "n_name string, base string, unit string")
 
 
 def _by_type(spark: SparkSession, d: str, kind: str) -> DataFrame:
