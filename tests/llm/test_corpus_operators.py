@@ -13,7 +13,6 @@ import pytest
 
 from tidemark.llm import fingerprints, language_model, media, mixing, ngram_join, packing, quality, substrings, toxicity, warc
 from tidemark.llm.textnum import Words
-from tidemark.runtime import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -409,19 +408,6 @@ def test_language_model_base_score(spark, docs, rows):
         assert r.score < 0
 
 
-def test_language_model_is_a_distribution_and_head_changes_nothing(spark, docs):
-    with Scratch(spark, "test") as scratch:
-        model = language_model.train(docs.select("doc_id", "text"), scratch)
-        table = model.words.collect()
-        for x in range(language_model.CLASSES + 1):
-            total = float((model.spares[:, x] * model.unknown).mean())
-            for r in table:
-                total += 10 ** r.p[r.xs.index(x)] if x in r.xs else float((model.spares[:, x] * np.array(r.roots)).mean())
-            assert math.isclose(total, 1.0, rel_tol=1e-6)
-        few, many = (sorted((r.doc_id or -1, round(r.score, 6), round(r.base_score, 6)) for r in language_model.score(spark, docs, model, scratch, most).collect()) for most in (20, 1 << 17))
-        assert few == many
-
-
 # 8 fingerprints
 
 

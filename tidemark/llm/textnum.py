@@ -72,15 +72,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of consecutive rows with at most ``limit`` bytes of ``column``, or of one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21, most: int = 1 << 13) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of at most ``most`` consecutive rows with at most ``limit`` bytes of ``column``, or of one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
         i = 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+            j = max(i + 1, min(i + most, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
 
