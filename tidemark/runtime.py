@@ -119,6 +119,17 @@ class Scratch:
         self._paths[id(written)] = path
         return written
 
+    def parted(self, df: DataFrame, by: str) -> str:
+        """The path of ``df`` written with a folder for each value of a column."""
+        path = self.path()
+        with clean_shuffles(self.spark):
+            df.write.option("compression", "uncompressed").partitionBy(by).parquet(path)
+        return path
+
+    def remove(self, path: str) -> None:
+        """A folder of this run that nothing reads any more."""
+        delete(self.spark, path)
+
     def drop(self, *tables: DataFrame) -> None:
         """Tables that nothing reads any more go before the run ends."""
         for t in tables:
