@@ -133,6 +133,16 @@ def test_seating_in_jumps_has_the_distribution_of_single_customers():
         assert got.min() >= 1 and got.max() <= customers
 
 
+def test_seating_together_is_seating_one_by_one(monkeypatch):
+    customers, weight = np.array([33, 700, 90, 5000, 40, 2100]), np.array([30.0, 55.5, 400.0, 900.0, 12.0, 7.5])
+    key = mix64(np.arange(6, dtype=U))
+    monkeypatch.setattr(lm, "_MANY", 0.0)
+    want = [one_by_one(int(c), float(w), 0.7, int(k)) for c, w, k in zip(customers, weight, key, strict=True)]
+    for at_once in (1 << 20, 1000, 50):
+        monkeypatch.setattr(lm, "_AT_ONCE", at_once)
+        assert lm.seat(customers, weight, 0.7, key).tolist() == want
+
+
 def test_log_gamma():
     x = np.array([0.1, 0.5, 1.0, 3.3, 7.99, 8.0, 55.5, 1e6, 1e12])
     assert lm.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)

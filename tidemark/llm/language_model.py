@@ -10,9 +10,9 @@ Seating: a cell is a (context, word) pair. A sweep seats the customers of every
 after the other, given the restaurants' totals from the sweep before (of words that are rare and
 stand after rare words, from two sweeps before). A cell's only customer has one table and needs no draw. Draws are hashes of
 (sweep, context, word, number of the draw), so the tables are the same however the data is
-dealt. Beyond 32 customers the number of customers up to the next new table is drawn in one step
-from its exact distribution, a quotient of gamma functions. The predictive probabilities
-of the last ``SAMPLES`` sweeps are averaged.
+dealt. Beyond 32 customers, many are seated at once with a draw each, or, where new tables are rare, the number
+of customers up to the next one is drawn from its exact distribution, a quotient of gamma functions. The predictive
+probabilities of the last ``SAMPLES`` sweeps are averaged.
 
 Layout: words are hashed once. Each task sends its texts' words, sorted into blocks of cells and of the documents they
 stand in, to buckets. ``HEAD`` words (frequent in a sample; the choice changes the cost alone) are
@@ -379,23 +379,70 @@ def uniform(key: np.ndarray, number: int | np.ndarray) -> np.ndarray:
     return ((h >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+_SINGLE, _MANY, _RARE, _AT_ONCE = 32, 32.0, 4096, 1 << 20
+
+
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
     """Tables that ``customers`` of one dish take in turn; ``weight``: (strength + discount * tables) * parent's probability.
 
     The first opens a table; after j customers at t tables the next opens one with probability
-    weight / (weight + j - discount * t). From 32 customers on, the next m open none with
-    probability G(j - dt + m) G(w + j - dt) / (G(j - dt) G(w + j - dt + m)); the place of the
-    next new table is drawn from that at once.
+    weight / (weight + j - discount * t). Where many tables are to be expected, all further customers
+    are seated at once (``_together``), else the places of the few new tables are drawn (``_leaps``).
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     active = np.flatnonzero(customers > 1)
-    for j in range(1, 32):
+    for j in range(1, _SINGLE):
         if not len(active):
             return tables
         p = weight[active] / (weight[active] + j - discount * tables[active])
         tables[active] += uniform(key[active], j) < p
         active = active[customers[active] > j + 1]
-    seated, draw = np.full(len(active), 32), 32
+    if len(active):
+        expected = weight[active] * np.log1p(customers[active] / weight[active])
+        many = (expected > _MANY) & (customers[active] < _RARE * expected)
+        for cells, seated in ((active[many], _together), (active[~many], _leaps)):
+            tables[cells] = seated(customers[cells], weight[cells], discount, key[cells], tables[cells])
+    return tables
+
+
+def _together(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Tables after the customers from number ``_SINGLE`` on, each with a draw U of its own.
+
+    Customer j opens a table if t > (j - weight (1 - U) / U) / discount, where t counts the tables opened before.
+    That has one solution, and it is where iterating from any t ends.
+    """
+    out, done = tables.copy(), np.full(len(customers), _SINGLE)
+    first = 0
+    while first < len(customers):
+        # As many cells as fit, or a part of one.
+        n = customers[first:] - done[first:]
+        take = max(1, int(np.searchsorted(np.cumsum(n), _AT_ONCE, "right")))
+        at = np.arange(first, first + take)
+        n = np.minimum(n[:take], _AT_ONCE)
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        j = np.repeat(done[at] - starts, n) + np.arange(n.sum())
+        u, w = uniform(np.repeat(key[at], n), j), np.repeat(weight[at], n)
+        limit = (j - w * (1 - u) / u) / discount - np.repeat(out[at], n)
+        before = np.zeros(len(j), np.int64)
+        while True:
+            opens = before > limit
+            total = np.cumsum(opens)
+            now = total - opens
+            now -= np.repeat(now[starts], n)
+            if (now == before).all():
+                break
+            before = now
+        out[at] += np.add.reduceat(opens, starts, dtype=np.int64)
+        done[at] += n
+        first += int((done[at] == customers[at]).sum())
+    return out
+
+
+def _leaps(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The same by the places of new tables: of the next m customers none opens one with probability
+    G(j - dt + m) G(w + j - dt) / (G(j - dt) G(w + j - dt + m))."""
+    tables = tables.copy()
+    active, seated, draw = np.arange(len(customers)), np.full(len(customers), _SINGLE), 1 << 62
     while len(active):
         a, base = weight[active], seated - discount * tables[active]
         rest = customers[active] - seated
