@@ -50,11 +50,11 @@ from tidemark.llm.toxicity import remainder
 from tidemark.runtime import Scratch, shuffle_partitions
 
 HEAD = 1 << 17
-TOKENS = 3_000_000
+TOKENS = 2_000_000
 BURN_IN, SAMPLES = 2, 2
 STRENGTH = 1.0
 _SAMPLE, _HOT_SHARE, _HOT_LEAST, _CHARS = 32, 1 << 20, 8, 6
-_FLUSH_TOKENS, _FLUSH_ROWS = 2_000_000, 1 << 20
+_FLUSH_TOKENS, _FLUSH_ROWS = 1_000_000, 1 << 20
 _ROW_BITS = 21
 _U = np.uint64
 _TOP = _U(1 << 63)
@@ -207,11 +207,15 @@ def _dealt_tokens(head: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             chunk = part + number
             u, w, row = (np.concatenate(c) for c in zip(*held, strict=True))
             ids, valid, train, n = (np.concatenate(c) for c in zip(*docs, strict=True))
+            held.clear()
+            docs.clear()
             own = int(h.place(np.array([chunk]))[0])
             out.add(own, DOC, pack(ids, valid, train, n), chunk=chunk)
             both, rare = (u >= 0) & (w >= 0), u < 0
-            for cls, (p, q, of) in enumerate(((h.key(u, w), None, both), (u, w, rare), (w, u, ~both & ~rare))):
-                p, q, cells, learned, r, times = _class_cells(p[of], None if q is None else q[of], row[of], train)
+            for cls, of in enumerate((both, rare, ~both & ~rare)):
+                left, right = u[of], w[of]
+                p, q = ((h.key(left, right), None), (left, right), (right, left))[cls]
+                p, q, cells, learned, r, times = _class_cells(p, q, row[of], train)
                 starts = np.concatenate([[0], np.cumsum(cells)[:-1]]).astype(np.int64)
                 if cls == BOTH:
                     hot, at = h.is_hot(p)
@@ -237,7 +241,7 @@ def _dealt_tokens(head: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             u, w, row = token_codes(data, offsets, h.words)
             if held and (size + len(u) > _FLUSH_TOKENS or rows_held + n > _FLUSH_ROWS):
                 yield from flush()
-                held, docs, size, rows_held, number = [], [], 0, 0, number + 1
+                size, rows_held, number = 0, 0, number + 1
             held.append((u, w, row + rows_held))
             ids = batch.column(0).cast(pa.int64())
             docs.append((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), np.bincount(row, minlength=n)))
