@@ -467,6 +467,21 @@ def test_cuts_follow_content():
     assert slow == [e for e in ends if e <= 60_000][: len(slow)]
 
 
+def test_near_copies_share_chunks(spark):
+    rng = random.Random(2)
+    base = words(rng, 1500, 10**6)
+    near = [base[: 500 * k] + f" an edit {k} " + base[500 * k :] for k in range(1, 12)]
+    lists = [[media._name(c) for c in media._pieces(media.wav(t.encode()))] for t in (base, *near)]
+    assert len(lists[0]) > 5
+    for other in lists[1:]:
+        assert len(set(other) & set(lists[0])) >= 0.6 * len(lists[0])
+    distinct = {name for own in lists for name in own}
+    assert len(distinct) < 0.45 * sum(map(len, lists))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([base, *near])], "doc_id long, text string")
+    got = {r.doc_id: r.payload_sha256 for r in media.store_and_read(spark, docs).collect()}
+    assert got == {i: hashlib.sha256(t.encode() + bytes(-len(t.encode()) % 64)).hexdigest() for i, t in enumerate([base, *near])}
+
+
 # 10 toxicity
 
 

@@ -2,10 +2,10 @@
 
 Method: a payload becomes the samples of a WAV file (8-bit mono, lossless). A rolling gear
 hash over the file's bytes cuts it where the hash's top bits are zero, so equal stretches
-give equal chunks wherever they stand. Chunks are named by their SHA-256; a Spark
+give equal chunks wherever they stand. Chunks are named by 128 bits of their SHA-256; a Spark
 aggregation keeps one of each name, and the store, compressed, is a table bucketed by that
 name. A file is an ordered list of chunk names; joining the lists to the store gives the
-bytes back, which are put together in order, verified against the file's digest, and
+bytes back, which are put together in order, verified against the file's whole SHA-256, and
 parsed for the payload. Equal files are stored, read and verified once, so a group of
 copies of any size costs one file; the feature rows are then joined to the documents.
 
@@ -31,7 +31,8 @@ from tidemark.llm.textnum import slices, stream
 from tidemark.runtime import Scratch, clean_shuffles, shuffle_partitions
 
 RATE = 8000
-LEAST, BITS, MOST = 8 << 10, 14, 128 << 10
+#: A chunk has 512 bytes at least and about 1 KB on average: most texts are of several chunks.
+LEAST, BITS, MOST = 512, 9, 128 << 10
 _GEAR = (stream(7, 256) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -83,8 +84,9 @@ def feature(payload: bytes) -> str:
     return ";".join([f"{wave.mean():.4f}", f"{wave.std():.4f}", f"{crossing:.4f}", ",".join(f"{v:.4f}" for v in level)])
 
 
-_LISTED = "doc_id long, n_bytes long, media_sha256 string, media_bytes long, seq int, chunk binary"
-_LISTED_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()]
+_LISTED = "doc_id long, n_bytes long, file binary, media_bytes long, chunks array<binary>"
+_LISTED_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary())]
+_NAME = 16  # bytes of a chunk's SHA-256 that name it
 #: Keys of files and chunks that a task remembers, at most.
 _REMEMBERED = 500_000
 
@@ -132,75 +134,81 @@ def _pieces(media: bytes) -> Iterator[bytes]:
         at = end
 
 
+def _name(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()[:_NAME]
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (seq null), and one for each place of a chunk in a file that is new to the task."""
+    """A row for each document (chunks null), and the ordered chunk names of each file that is new to the task."""
     new = _Once()
     for ids, lengths, files in _files(batches):
         out = []
         for doc_id, n, media in zip(ids, lengths, files, strict=True):
-            digest = hashlib.sha256(media)
-            out.append((doc_id, n, digest.hexdigest(), len(media), None, None))
-            if new(digest.digest()[:16]):
-                out += [(None, None, digest.hexdigest(), len(media), k, hashlib.sha256(c).digest()) for k, c in enumerate(_pieces(media))]
+            digest = hashlib.sha256(media).digest()
+            out.append((doc_id, n, digest, len(media), None))
+            if new(digest[:16]):
+                out.append((None, None, digest, len(media), [_name(c) for c in _pieces(media)]))
         columns = zip(*out, strict=True)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _LISTED_TYPES, strict=True)], names=["doc_id", "n_bytes", "media_sha256", "media_bytes", "seq", "chunk"])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _LISTED_TYPES, strict=True)], names=["doc_id", "n_bytes", "file", "media_bytes", "chunks"])
 
 
 def _chunks(words: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Digest and compressed bytes of every chunk that is new to the task."""
+    """Name and compressed bytes of every chunk that is new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, new = zstandard.ZstdCompressor(level=6, **_codec(words)), _Once()
+        pack, new = zstandard.ZstdCompressor(level=12, write_dict_id=False, **_codec(words)), _Once()
         for _, _, files in _files(batches):
-            found = {digest: c for media in files for c in _pieces(media) if new((digest := hashlib.sha256(c).digest())[:16])}
+            found = {name: c for media in files for c in _pieces(media) if new((name := _name(c)))}
             yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array([pack.compress(c) for c in found.values()], pa.binary())], names=["chunk", "bytes"])
 
     return run
 
 
-def _read(media_sha256: str, parts: list[tuple[int, bytes, bytes]], words: bytes) -> tuple[int, str, int, str]:
-    """Payload length, digest, tail checksum and feature of a file put together from its chunks, verified."""
-    unpack = zstandard.ZstdDecompressor(**_codec(words))
-    whole = []
-    for _, digest, packed in sorted(parts, key=lambda p: p[0]):
-        chunk = unpack.decompress(packed)
-        if hashlib.sha256(chunk).digest() != digest:
-            raise ValueError(f"a chunk of {media_sha256} is damaged")
-        whole.append(chunk)
-    media = b"".join(whole)
-    if hashlib.sha256(media).hexdigest() != media_sha256:
-        raise ValueError(f"{media_sha256} was not read back whole")
+def _read(file: bytes, media: bytes) -> tuple[bytes, int, str, int, str]:
+    """Digest of a file put together from its chunks, verified; payload length, digest, tail checksum and feature."""
+    if hashlib.sha256(media).digest() != file:
+        raise ValueError(f"{file.hex()} was not read back whole")
     payload = samples(media)
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature(payload)
+    return file, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature(payload)
 
 
-_FEATURES = "media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-_FEATURE_NAMES = ["media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+_FEATURES = "file binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+_FEATURE_NAMES = ["file", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
 
 
 def _single(words: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Files of one chunk, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor(**_codec(words))
         for batch in batches:
-            yield _feature_batch([(m, *_read(m, [(0, c, b)], words)) for m, c, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)])
+            yield _feature_batch([_read(f, unpack.decompress(b)) for f, b in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)])
 
     return run
 
 
-def _several(words: bytes) -> Callable[[pa.Table], pa.Table]:
-    """A file of several chunks, from its rows."""
+def _several(words: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Files of several chunks, from rows sorted by file and place. One file is in memory at a time."""
 
-    def run(table: pa.Table) -> pa.Table:
-        name = table.column("media_sha256")[0].as_py()
-        parts = list(zip(*(table.column(c).to_pylist() for c in ("seq", "chunk", "bytes")), strict=True))
-        return pa.Table.from_batches([_feature_batch([(name, *_read(name, parts, words))])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor(**_codec(words))
+        file, whole = None, []
+        for batch in batches:
+            out = []
+            for f, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if f != file:
+                    out += [_read(file, b"".join(whole))] if whole else []
+                    file, whole = f, []
+                whole.append(unpack.decompress(b))
+            yield _feature_batch(out)
+        if whole:
+            yield _feature_batch([_read(file, b"".join(whole))])
 
     return run
 
 
 def _feature_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_FEATURE_NAMES)
 
@@ -216,15 +224,14 @@ def store_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
         with clean_shuffles(spark):
             kept.write.bucketBy(buckets, "chunk").option("path", scratch.path("store")).option("compression", "uncompressed").saveAsTable(store)
         try:
-            place = listed.filter("seq is not null").select("media_sha256", "seq", "chunk").distinct()
-            place = place.join(place.groupBy("media_sha256").agg(F.max("seq").alias("last")), "media_sha256")
+            files = listed.filter("chunks is not null").groupBy("file").agg(F.first("chunks").alias("chunks"))
             chunks = spark.table(store)
-            single = chunks.join(place.filter("last = 0"), "chunk").select("media_sha256", "chunk", "bytes")
-            several = chunks.join(place.filter("last > 0"), "chunk").select("media_sha256", "seq", "chunk", "bytes")
-            features = scratch.table(
-                single.mapInArrow(_single(words), _FEATURES).unionByName(several.groupBy("media_sha256").applyInArrow(_several(words), _FEATURES))
-            )
-            documents = listed.filter("seq is null").select("doc_id", "n_bytes", "media_sha256", "media_bytes")
-            return scratch.result(documents.join(features, "media_sha256"))
+            single = chunks.join(files.filter("size(chunks) = 1").select("file", F.col("chunks")[0].alias("chunk")), "chunk").select("file", "bytes")
+            place = files.filter("size(chunks) > 1").select("file", F.posexplode("chunks").alias("seq", "chunk"))
+            several = chunks.join(place, "chunk").select("file", "seq", "bytes").repartition(buckets, "file").sortWithinPartitions("file", "seq")
+            features = scratch.table(single.mapInArrow(_single(words), _FEATURES).unionByName(several.mapInArrow(_several(words), _FEATURES)))
+            documents = listed.filter("chunks is null").select("doc_id", "n_bytes", "file", "media_bytes")
+            joined = documents.join(features, "file").withColumn("media_sha256", F.lower(F.hex("file"))).drop("file")
+            return scratch.result(joined)
         finally:
             spark.sql(f"drop table if exists {store}")
