@@ -31,8 +31,10 @@ from tidemark.llm.textnum import slices, stream
 from tidemark.runtime import Scratch, clean_shuffles, shuffle_partitions
 
 RATE = 8000
-#: A chunk has 512 bytes at least and about 1 KB on average: most texts are of several chunks.
-LEAST, BITS, MOST = 512, 9, 128 << 10
+#: A chunk has 256 bytes at least and about 770 on average: most texts are of several chunks.
+LEAST, BITS, MOST = 256, 9, 128 << 10
+#: Chunks are stored, and files read, in so many waves by a hash: only one wave's bytes are in a shuffle at a time.
+WAVES = 2
 _GEAR = (stream(7, 256) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -152,13 +154,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _LISTED_TYPES, strict=True)], names=["doc_id", "n_bytes", "file", "media_bytes", "chunks"])
 
 
-def _chunks(words: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Name and compressed bytes of every chunk that is new to the task."""
+def _chunks(words: bytes, wave: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Name and compressed bytes of every chunk of this wave that is new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, new = zstandard.ZstdCompressor(level=12, write_dict_id=False, **_codec(words)), _Once()
         for _, _, files in _files(batches):
-            found = {name: c for media in files for c in _pieces(media) if new((name := _name(c)))}
+            found = {name: c for media in files for c in _pieces(media) if (name := _name(c))[0] % WAVES == wave and new(name)}
             yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array([pack.compress(c) for c in found.values()], pa.binary())], names=["chunk", "bytes"])
 
     return run
@@ -220,16 +222,21 @@ def store_and_read(spark: SparkSession, docs: DataFrame) -> DataFrame:
         words = dictionary(docs)
         listed = scratch.table(docs.mapInArrow(_lists, _LISTED))
         store, buckets = f"media_{scratch.id.rsplit('-', 1)[1]}", shuffle_partitions(spark)
-        kept = docs.mapInArrow(_chunks(words), "chunk binary, bytes binary").groupBy("chunk").agg(F.first("bytes").alias("bytes"))
-        with clean_shuffles(spark):
-            kept.write.bucketBy(buckets, "chunk").option("path", scratch.path("store")).option("compression", "uncompressed").saveAsTable(store)
+        where = scratch.path("store")
         try:
+            for wave in range(WAVES):
+                kept = docs.mapInArrow(_chunks(words, wave), "chunk binary, bytes binary").groupBy("chunk").agg(F.first("bytes").alias("bytes"))
+                with clean_shuffles(spark):
+                    kept.write.mode("append").bucketBy(buckets, "chunk").option("path", where).option("compression", "uncompressed").saveAsTable(store)
             files = listed.filter("chunks is not null").groupBy("file").agg(F.first("chunks").alias("chunks"))
             chunks = spark.table(store)
             single = chunks.join(files.filter("size(chunks) = 1").select("file", F.col("chunks")[0].alias("chunk")), "chunk").select("file", "bytes")
             place = files.filter("size(chunks) > 1").select("file", F.posexplode("chunks").alias("seq", "chunk"))
-            several = chunks.join(place, "chunk").select("file", "seq", "bytes").repartition(buckets, "file").sortWithinPartitions("file", "seq")
-            features = scratch.table(single.mapInArrow(_single(words), _FEATURES).unionByName(several.mapInArrow(_several(words), _FEATURES)))
+            features = scratch.table(single.mapInArrow(_single(words), _FEATURES))
+            for wave in range(WAVES):
+                several = chunks.join(place.filter(F.pmod(F.crc32("file"), F.lit(WAVES)) == wave), "chunk").select("file", "seq", "bytes")
+                several = several.repartition(buckets, "file").sortWithinPartitions("file", "seq")
+                features = features.unionByName(scratch.table(several.mapInArrow(_several(words), _FEATURES)))
             documents = listed.filter("chunks is null").select("doc_id", "n_bytes", "file", "media_bytes")
             joined = documents.join(features, "file").withColumn("media_sha256", F.lower(F.hex("file"))).drop("file")
             return scratch.result(joined)
