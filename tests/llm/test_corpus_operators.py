@@ -13,6 +13,7 @@ import pytest
 
 from tidemark.llm import fingerprints, language_model, media, mixing, ngram_join, packing, quality, substrings, toxicity, warc
 from tidemark.llm.textnum import Words
+from tidemark.runtime import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -327,6 +328,35 @@ def test_substrings_find_an_edited_passage(spark):
     assert len({(r.other_id, r.doc_id) for r in got} & {(2 * i, 2 * i + 1) for i in range(20)}) >= 19
 
 
+def test_hot_and_cold_keys_give_equal_passages(spark):
+    """With no key hot, every key hot and every second one: the same rows, among them copies behind frequent lines."""
+    rng = random.Random(21)
+    line, frequent = words(rng, 12, 10**6), words(rng, 40, 10**6)
+    texts = [" ".join([words(rng, 40, 10**6), line, words(rng, 40, 10**6)]) for _ in range(20)]
+    texts += [" ".join([words(rng, 25, 10**6), frequent, words(rng, 25, 10**6)]) for _ in range(20)]
+    for _ in range(8):
+        passage = words(rng, 30, 10**6) + " " + rng.choice([line, frequent]) + " " + words(rng, 30, 10**6)
+        texts += [" ".join([words(rng, 20, 10**6), passage, words(rng, 20, 10**6)]) for _ in range(2)]
+    rng.shuffle(texts)
+    texts += [texts[0]] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    every = docs.mapInArrow(substrings._window_rows(5, 47, np.zeros(0, np.int64)), substrings._WINDOW).select("key").distinct()
+    keys = np.array(sorted(r.key for r in every.collect()), np.int64)
+    with Scratch(spark, "test") as scratch:
+        found = [sorted(tuple(r) for r in substrings.passages(spark, docs, scratch, hot=hot).collect()) for hot in (keys[:0], keys, keys[::2])]
+    assert found[0] == found[1] == found[2]
+    want = {(j, i) for i, t in enumerate(texts[:56]) for j, u in enumerate(texts[:56]) if i < j and len(set(grams(t.split())) & set(grams(u.split()))) > 60}
+    assert len(want) == 8 and want <= {(r[0], r[1]) for r in found[0]}
+
+
+def test_a_text_of_millions_of_shingles_has_the_same_windows(monkeypatch):
+    v = np.random.default_rng(4).integers(0, 2**63, 5000).astype(np.uint64)
+    doc = np.zeros(5000, np.int64)
+    plain = substrings.windows(v, doc, 47)
+    monkeypatch.setattr(substrings, "_AT", np.uint64(1023))
+    assert all((a == b).all() for a, b in zip(plain, substrings.windows(v, doc, 47), strict=True))
+
+
 def test_substrings_remove(spark, docs):
     out = {r.doc_id: r for r in substrings.remove(spark, docs).collect()}
     assert set(out) >= {r.doc_id for r in docs.collect() if r.text and r.text.strip()} - {70, 71, 0} - set(range(65, 72))
