@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Removes the shuffle files of a finished write, which nothing reads again.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that go to a Python worker at once: rows may be long texts or blocks.
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _LOCAL: dict[str, str] = {}
 
 
@@ -79,8 +81,8 @@ def _conf(spark: SparkSession, **settings: str) -> Iterator[None]:
 
 
 def clean_shuffles(spark: SparkSession) -> contextlib.AbstractContextManager:
-    """While it holds, a job's shuffle files go when the job ends; for jobs whose result is written."""
-    return _conf(spark, **{_SHUFFLE_CLEANUP: "true"})
+    """While it holds, a job's shuffle files go when the job ends, and batches for Python stay small; for jobs whose result is written."""
+    return _conf(spark, **{_SHUFFLE_CLEANUP: "true"} | _BATCH)
 
 
 class Scratch:
