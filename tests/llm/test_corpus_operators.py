@@ -340,10 +340,11 @@ def test_hot_and_cold_keys_give_equal_passages(spark):
     rng.shuffle(texts)
     texts += [texts[0]] * 30
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    every = docs.mapInArrow(substrings._window_rows(5, 47, np.zeros(0, np.int64)), substrings._WINDOW).select("key").distinct()
+    every = docs.mapInArrow(substrings._window_rows(5, 47, substrings.NO_KEYS), substrings._WINDOW).select("key").distinct()
     keys = np.array(sorted(r.key for r in every.collect()), np.int64)
+    hots = [substrings.Hot(x, 1 + x % 3) for x in (keys[:0], keys, keys[::2])]
     with Scratch(spark, "test") as scratch:
-        found = [sorted(tuple(r) for r in substrings.passages(spark, docs, scratch, hot=hot).collect()) for hot in (keys[:0], keys, keys[::2])]
+        found = [sorted(tuple(r) for r in substrings.passages(spark, docs, scratch, hot=hot).collect()) for hot in hots]
     assert found[0] == found[1] == found[2]
     want = {(j, i) for i, t in enumerate(texts[:56]) for j, u in enumerate(texts[:56]) if i < j and len(set(grams(t.split())) & set(grams(u.split()))) > 60}
     assert len(want) == 8 and want <= {(r[0], r[1]) for r in found[0]}
