@@ -1,12 +1,13 @@
 """Join of texts whose sets of word shingles have a Jaccard similarity of at least a limit.
 
-Method: T-occurrence search over inverted lists of shingles, as DivideSkip has it. To reach
-the limit, two sets must share a shingle among the few rarest ones of each, under one
-order of all shingles; those are the short lists. They are merged, by a shuffle that sorts
-them by shingle, and give candidates; lists of frequent shingles are never merged: a
+Method: T-occurrence search over inverted lists of shingles, as DivideSkip has it. Two sets of T
+shared shingles or more are sought; of a set's lists the T - ``OCCURRENCES`` longest ones are put aside. The short lists are merged,
+by a shuffle that sorts them by shingle and one that brings the occurrences of a pair together, and a pair that occurs
+``OCCURRENCES`` times is a candidate (in all of them, where a pair needs fewer). The long lists are never merged: a
 candidate's shingles are binary-probed in the other's sorted set until the overlap that
-the limit asks for is certain or out of reach. The order goes by a count sketch of fixed
-size, then by hash; any fixed order gives the same links, the sketch only keeps the lists short.
+the limit asks for is certain or out of reach. Which lists are long goes by a count sketch, then by hash, one order for
+all sets; any fixed order gives the same links, the sketch only keeps the short lists short. Its size follows
+the input (up to 2^24 slots of one byte), and the tasks' sketches are added up a few at a time.
 
 Groups of copies stay linear. Equal sets are one class from the start. In a first round
 every class is compared with one other class of each of its lists, the one with the
@@ -27,16 +28,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.blocks import pack, tree_sum
 from tidemark.llm.graph import components
 from tidemark.llm.textnum import Words, longs, mix64, slices, stream
 from tidemark.runtime import Scratch, fresh, shuffle_partitions
 
-SKETCH = 1 << 21
-_SLICES = 32
+OCCURRENCES = 3
+_SLOTS, _CHARS_A_SLOT, _SALTS = (1 << 21, 1 << 24), 64, 8
 _U = np.uint64
 _SEEN = 1_000_000
 
@@ -66,36 +68,34 @@ def classes(row: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
         return size, mix64(total[ends[1:]] - total[ends[:-1]] + size.astype(_U) * stream(6, 1)[0])
 
 
-def _place(g: np.ndarray) -> np.ndarray:
-    return (mix64(g ^ stream(8, 1)[0]) % _U(SKETCH)).astype(np.int64)
+def _place(g: np.ndarray, slots: int) -> np.ndarray:
+    return (mix64(g ^ stream(8, 1)[0]) % _U(slots)).astype(np.int64)
 
 
-_FACTS = "doc_id long, size int, class long, slice int, counts binary"
+_FACTS = "doc_id long, size int, class long, bucket int, data binary"
 
 
-def _facts(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for each text; at the end of the task its counts of shingles, by slices of the sketch."""
+def _facts(k: int, slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each text; at the end of the task its sketch of the counts of shingles (``bucket``: the task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.int32)
+        sketch = np.zeros(slots, np.int32)
         for rows, data, offsets in slices(batches):
             n = len(offsets) - 1
             row, g = sets(data, offsets, k)
             size, cls = classes(row, g, n)
-            sketch += np.bincount(_place(g), minlength=SKETCH).astype(np.int32)
-            yield pa.record_batch([rows.column(0).cast(pa.int64()), pa.array(size.astype(np.int32)), longs(cls), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "size", "class", "slice", "counts"])
-        parts = [zstandard.compress(p.tobytes(), 1) for p in np.split(sketch, _SLICES)]
-        yield pa.record_batch([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int32()), pa.nulls(_SLICES, pa.int64()), pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "size", "class", "slice", "counts"])
+            at, counts = np.unique(_place(g, slots), return_counts=True)
+            sketch[at] += counts.astype(np.int32)
+            yield pa.record_batch([rows.column(0).cast(pa.int64()), pa.array(size.astype(np.int32)), longs(cls), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "size", "class", "bucket", "data"])
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack(sketch)], pa.binary())]
+        yield pa.record_batch(columns, names=["doc_id", "size", "class", "bucket", "data"])
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """Sum of one slice's counts."""
-    total = np.zeros(SKETCH // _SLICES, np.int64)
-    for part in table.column("counts").to_pylist():
-        total += np.frombuffer(zstandard.decompress(part), np.int32)
-    return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([zstandard.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte, in steps of an eighth of a doubling."""
+    return np.minimum(8 * np.log2(1.0 + counts), 255).astype(np.uint8)
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -121,12 +121,12 @@ def _entries(k: int, percent: int, sketch: object) -> Callable[[Iterator[pa.Reco
                     fresh[i] = True
             keep = fresh[row]
             row, g = row[keep], g[keep]
-            order = np.lexsort((g, counts[_place(g)], row))
+            order = np.lexsort((g, counts[_place(g, len(counts))], row))
             row, g = row[order], g[order]
             first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
             rank = np.arange(len(row)) - first[row]
-            # A partner has percent % of a set's size at least in common with it.
-            short = rank <= size[row] - -(-percent * size[row] // 100)
+            # A partner has percent % of a set's size at least in common with it, so OCCURRENCES shingles among these.
+            short = rank < size[row] - -(-percent * size[row] // 100) + OCCURRENCES
             row, g, rank = row[short], g[short], rank[short]
             yield pa.record_batch([longs(g), longs(cls[row]), pa.array(size[row].astype(np.int32)), pa.array(rank.astype(np.int32))], names=["shingle", "class", "size", "rank"])
 
@@ -159,13 +159,18 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int = 1 << 18) -> Iterator
 
 
 def _possible(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether classes at ``i`` and ``j`` of one list may reach the limit, if this is their first shared shingle."""
+    """Whether classes at ``i`` and ``j`` of one list may reach the limit, if this is one of their first shared shingles."""
     a, b = p["size"][i], p["size"][j]
     left = np.minimum(a - p["rank"][i], b - p["rank"][j])
-    return left >= least_overlap(a.astype(np.int64), b.astype(np.int64), percent)
+    return left + OCCURRENCES - 1 >= least_overlap(a.astype(np.int64), b.astype(np.int64), percent)
 
 
-_ROUND1 = "shingle long, class long, size int, rank int, a long, b long"
+def _need(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """How often two classes have to occur together in short lists."""
+    return np.minimum(least_overlap(p["size"][i].astype(np.int64), p["size"][j].astype(np.int64), percent), OCCURRENCES)
+
+
+_ROUND1 = "shingle long, class long, size int, rank int, a long, b long, need long"
 
 
 def _first_round(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -185,11 +190,11 @@ def _first_round(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             shared = np.diff(np.append(at, len(starts)))[number] > 1
             i = np.flatnonzero(shared)
             lead = at[number[i]]
-            yield pa.record_batch([*(pa.array(p[c][i]) for c in ("shingle", "class", "size", "rank")), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], names=["shingle", "class", "size", "rank", "a", "b"])
+            yield pa.record_batch([*(pa.array(p[c][i]) for c in ("shingle", "class", "size", "rank")), *[pa.nulls(len(i), pa.int64())] * 3], names=["shingle", "class", "size", "rank", "a", "b", "need"])
             pair = (lead != i) & _possible(p, i, lead, percent)
             x, y = p["class"][i[pair]], p["class"][lead[pair]]
             m = len(x)
-            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["shingle", "class", "size", "rank", "a", "b"])
+            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(_need(p, i[pair], lead[pair], percent))], names=["shingle", "class", "size", "rank", "a", "b", "need"])
 
     return run
 
@@ -211,14 +216,14 @@ def _second_round(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 pair = (p["root"][i] != p["root"][j]) & _possible(p, i, j, percent)
                 if pair.any():
                     x, y = p["class"][i[pair]], p["class"][j[pair]]
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(_need(p, i[pair], j[pair], percent))], names=["a", "b", "need"])
                 lag += 1
 
     return run
 
 
 def _set_rows(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The sorted set of each text whose class is the wanted one."""
+    """The sorted set of each text whose class is the wanted one, once for each salt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
@@ -227,7 +232,10 @@ def _set_rows(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             _, cls = classes(row, g, n)
             ends = np.searchsorted(row, np.arange(n + 1))
             wanted = np.flatnonzero(cls.view(np.int64) == rows.column(rows.schema.get_field_index("class")).to_numpy())
-            yield pa.record_batch([longs(cls[wanted]), pa.array([g[ends[i] : ends[i + 1]].tobytes() for i in wanted], pa.binary())], names=["class", "set"])
+            salts = rows.column(rows.schema.get_field_index("salts")).to_pylist()
+            out = [(i, s) for i in wanted.tolist() for s in salts[i]]
+            at = [i for i, _ in out]
+            yield pa.record_batch([longs(cls[at] if at else cls[:0]), pa.array([s for _, s in out], pa.int32()), pa.array([g[ends[i] : ends[i + 1]].tobytes() for i in at], pa.binary())], names=["class", "salt", "set"])
 
     return run
 
@@ -258,41 +266,45 @@ def _probed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The links among candidate pairs of classes, from the whole texts of one document of each class."""
-    pairs = scratch.table(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    chosen = reps.join(wanted, F.col("class") == F.col("c")).select(F.col("doc_id").alias("rep"), "class")
+    """The links among pairs of classes that occur together often enough, from the whole texts of one document of each class."""
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
+    # A class that many others meet has its set there once for each salt of theirs.
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(_SALTS)).cast("int")
+    pairs = scratch.table(pairs.withColumns({"sa": salt("b"), "sb": salt("a")}))
+    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("sa").alias("s")), F.struct(F.col("b").alias("c"), F.col("sb").alias("s")))).alias("w"))
+    wanted = wanted.groupBy(F.col("w.c").alias("c")).agg(F.collect_set("w.s").alias("salts"))
+    chosen = reps.join(wanted, F.col("class") == F.col("c")).select(F.col("doc_id").alias("rep"), "class", "salts")
     # Both sides grow with the input: neither is broadcast at any size.
-    found = docs.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "text")
-    held = scratch.table(found.mapInArrow(_set_rows(k), "class long, set binary").groupBy("class").agg(F.first("set").alias("set")), "uncompressed")
-    a = held.select(F.col("class").alias("ca"), F.col("set").alias("set_a"))
-    b = held.select(F.col("class").alias("cb"), F.col("set").alias("set_b"))
-    joined = pairs.join(a, F.col("a") == F.col("ca")).join(b, F.col("b") == F.col("cb")).select("a", "b", "set_a", "set_b")
+    found = docs.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "salts", "text")
+    held = scratch.table(found.mapInArrow(_set_rows(k), "class long, salt int, set binary").groupBy("class", "salt").agg(F.first("set").alias("set")), "uncompressed")
+    a = held.select(F.col("class").alias("ca"), F.col("salt").alias("s1"), F.col("set").alias("set_a"))
+    b = held.select(F.col("class").alias("cb"), F.col("salt").alias("s2"), F.col("set").alias("set_b"))
+    joined = pairs.join(a, (F.col("a") == F.col("ca")) & (F.col("sa") == F.col("s1"))).join(b, (F.col("b") == F.col("cb")) & (F.col("sb") == F.col("s2"))).select("a", "b", "set_a", "set_b")
     return scratch.table(joined.mapInArrow(_probed(percent), "a long, b long"))
 
 
 def link(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    raw = scratch.table(docs.mapInArrow(_facts(k), _FACTS))
-    facts = raw.filter("slice is null").select("doc_id", "size", "class")
-    sketch = np.zeros(SKETCH, np.int32)
-    part = SKETCH // _SLICES
-    for r in raw.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect():
-        sketch[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.int32)
-    counts = spark.sparkContext.broadcast(sketch)
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    slots = min(max(_SLOTS[0], 1 << (size // _CHARS_A_SLOT).bit_length()), _SLOTS[1])
+    raw = scratch.table(docs.mapInArrow(_facts(k, slots), _FACTS))
+    facts = raw.filter("bucket is null").select("doc_id", "size", "class")
+    sketches = raw.filter("bucket is not null")
+    parts = sketches.agg(F.coalesce(F.max("bucket") + 1, F.lit(0))).first()[0]
+    counts = spark.sparkContext.broadcast(_levels((tree_sum(sketches, parts, scratch.table, 8) or [np.zeros(slots)])[0]))
     reps = scratch.table(facts.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
 
     entries = docs.select("text").mapInArrow(_entries(k, percent, counts), "shingle long, class long, size int, rank int")
     lists = entries.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
     first = scratch.table(lists.mapInArrow(_first_round(percent), _ROUND1))
-    links1 = verified(first.filter("a is not null").select("a", "b"), reps, docs, k, percent, scratch)
+    links1 = verified(first.filter("a is not null").select("a", "b", "need"), reps, docs, k, percent, scratch)
     near = components(links1, scratch)
 
     shared = first.filter("a is null").select("shingle", "class", "size", "rank")
     rooted = shared.join(near, F.col("class") == F.col("node"), "left").select("shingle", "class", "size", "rank", F.coalesce("root", "class").alias("root"))
     again = rooted.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
-    links2 = verified(again.mapInArrow(_second_round(percent), "a long, b long"), reps, docs, k, percent, scratch)
+    links2 = verified(again.mapInArrow(_second_round(percent), "a long, b long, need long"), reps, docs, k, percent, scratch)
 
     joined = components(links1.unionByName(links2), scratch)
     members = reps.join(joined, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
