@@ -8,8 +8,7 @@ a row does not count, and integers travel in as few bytes as their range and ord
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,16 +153,28 @@ def read(spark: SparkSession, path: str, *kinds: int) -> DataFrame:
     return spark.read.schema(schema).parquet(path).filter(F.col("kind").isin(*kinds)).select(*NAMES)
 
 
+def _sum(blocks: Iterable[bytes]) -> list[np.ndarray]:
+    """Sums of the columns, with two blocks in memory."""
+    total: list[np.ndarray] = []
+    for data in blocks:
+        columns = unpack(data)
+        if total:
+            for a, b in zip(total, columns, strict=True):
+                a += b
+        else:
+            total = columns
+    return total
+
+
 def tree_sum(rows: DataFrame, parts: int, table: Callable[[DataFrame], DataFrame], fan: int = 32) -> list[np.ndarray]:
     """Sum of the columns in the blocks of ``parts`` rows (one a bucket): ``fan`` at a time, so no task or driver gets many."""
 
     def add(t: pa.Table) -> pa.Table:
-        total = [sum(c) for c in zip(*(unpack(d) for d in t.column("data").to_pylist()), strict=True)]
+        total = _sum(d.as_py() for d in t.column("data"))
         return pa.table({"bucket": pa.array([t.column("g")[0].as_py()], pa.int32()), "data": pa.array([pack(*total)], pa.binary())})
 
     rows = rows.select("bucket", "data")
     while parts > fan:
         parts = -(-parts // fan)
         rows = table(rows.withColumn("g", (F.col("bucket") % parts).cast("int")).groupBy("g").applyInArrow(add, "bucket int, data binary"))
-    found: list[Any] = [unpack(bytes(r["data"])) for r in rows.collect()]
-    return [sum(c) for c in zip(*found, strict=True)]
+    return _sum(bytes(r["data"]) for r in rows.collect())

@@ -7,7 +7,7 @@ by a shuffle that sorts them by shingle and one that brings the occurrences of a
 candidate's shingles are binary-probed in the other's sorted set until the overlap that
 the limit asks for is certain or out of reach. Which lists are long goes by a count sketch, then by hash, one order for
 all sets; any fixed order gives the same links, the sketch only keeps the short lists short. Its size follows
-the input (up to 2^24 slots of one byte), and the tasks' sketches are added up a few at a time.
+the input (up to 2^23 slots of one byte), and the tasks' sketches are added up a few at a time.
 
 Groups of copies stay linear. Equal sets are one class from the start. In a first round
 every class is compared with one other class of each of its lists, the one with the
@@ -38,7 +38,7 @@ from tidemark.llm.textnum import Words, longs, mix64, slices, stream
 from tidemark.runtime import Scratch, fresh, shuffle_partitions
 
 OCCURRENCES = 3
-_SLOTS, _CHARS_A_SLOT, _SALTS = (1 << 21, 1 << 24), 64, 8
+_SLOTS, _CHARS_A_SLOT, _SALTS = (1 << 21, 1 << 23), 256, 8
 _U = np.uint64
 _SEEN = 1_000_000
 
