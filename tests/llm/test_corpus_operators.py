@@ -412,6 +412,22 @@ def test_ngram_join_of_random_near_copies(spark):
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize(("occurrences", "long"), [(1, 64), (2, 0), (3, 10**6), (6, 3)])
+def test_short_lists_of_any_length_give_the_same_links(spark, monkeypatch, occurrences, long):
+    rng = random.Random(6)
+    line, texts = words(rng, 9, 10**6), []
+    for _ in range(25):
+        base = words(rng, 40, 300).split()
+        texts += [" ".join([*base, line])] + [" ".join([w if rng.random() > 0.03 else "z" for w in base] + [line]) for _ in range(3)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    monkeypatch.setattr(ngram_join, "OCCURRENCES", occurrences)
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark, spark.createDataFrame(rows, SCHEMA), 3, 60).collect()}
+    want = brute_components(rows, 3, 60)
+    assert got == {i: (v[1] if isinstance(v, tuple) else v) for i, v in want.items()}
+    assert len(set(got.values())) < len(rows)
+
+
 def test_probe_counts_like_sets():
     rng = np.random.default_rng(4)
     for _ in range(200):

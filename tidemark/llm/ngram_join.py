@@ -1,9 +1,10 @@
 """Join of texts whose sets of word shingles have a Jaccard similarity of at least a limit.
 
 Method: T-occurrence search over inverted lists of shingles, as DivideSkip has it. Two sets of T
-shared shingles or more are sought; of a set's lists the T - ``OCCURRENCES`` longest ones are put aside. The short lists are merged,
-by a shuffle that sorts them by shingle and one that brings the occurrences of a pair together, and a pair that occurs
-``OCCURRENCES`` times is a candidate (in all of them, where a pair needs fewer). The long lists are never merged: a
+shared shingles or more are sought; of a set's lists the L longest ones are put aside, L being T - 1, T - 2 or T - 3: as few as
+leave out all lists that the sketch holds for longer than ``LONG``. The short lists are merged,
+by a shuffle that sorts them by shingle and one that counts the occurrences of a pair together, and a pair that occurs
+T - L times (with the larger L of the two sets) is a candidate. The long lists are never merged: a
 candidate's shingles are binary-probed in the other's sorted set until the overlap that
 the limit asks for is certain or out of reach. Which lists are long goes by a count sketch, then by hash, one order for
 all sets; any fixed order gives the same links, the sketch only keeps the short lists short. Its size follows
@@ -37,7 +38,7 @@ from tidemark.llm.graph import components
 from tidemark.llm.textnum import Words, longs, mix64, slices, stream
 from tidemark.runtime import Scratch, fresh, shuffle_partitions
 
-OCCURRENCES = 3
+OCCURRENCES, LONG = 3, 64
 _SLOTS, _CHARS_A_SLOT, _SALTS = (1 << 21, 1 << 23), 256, 8
 _U = np.uint64
 _SEEN = 1_000_000
@@ -104,7 +105,7 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _entries(k: int, percent: int, sketch: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The short-list shingles of each class that is new to the task: shingle, class, size and rank in the order."""
+    """The short-list shingles of each class that is new to the task: shingle, class, size, rank in the order, and T - L."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
@@ -121,14 +122,18 @@ def _entries(k: int, percent: int, sketch: object) -> Callable[[Iterator[pa.Reco
                     fresh[i] = True
             keep = fresh[row]
             row, g = row[keep], g[keep]
-            order = np.lexsort((g, counts[_place(g, len(counts))], row))
-            row, g = row[order], g[order]
+            level = counts[_place(g, len(counts))]
+            order = np.lexsort((g, level, row))
+            row, g, level = row[order], g[order], level[order]
             first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
             rank = np.arange(len(row)) - first[row]
-            # A partner has percent % of a set's size at least in common with it, so OCCURRENCES shingles among these.
-            short = rank < size[row] - -(-percent * size[row] // 100) + OCCURRENCES
+            # A partner has percent % of a set's size at least in common with it, so one shingle up to this rank, two up to the next, ...
+            beyond = rank - (size[row] - -(-percent * size[row] // 100))
+            more = (beyond > 0) & (beyond < OCCURRENCES) & (level <= _levels(np.array([LONG]))[0])
+            times = 1 + np.bincount(row[more], minlength=n)
+            short = (beyond <= 0) | more
             row, g, rank = row[short], g[short], rank[short]
-            yield pa.record_batch([longs(g), longs(cls[row]), pa.array(size[row].astype(np.int32)), pa.array(rank.astype(np.int32))], names=["shingle", "class", "size", "rank"])
+            yield pa.record_batch([longs(g), longs(cls[row]), pa.array(size[row].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(times[row].astype(np.int32))], names=["shingle", "class", "size", "rank", "times"])
 
     return run
 
@@ -162,15 +167,16 @@ def _possible(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: i
     """Whether classes at ``i`` and ``j`` of one list may reach the limit, if this is one of their first shared shingles."""
     a, b = p["size"][i], p["size"][j]
     left = np.minimum(a - p["rank"][i], b - p["rank"][j])
-    return left + OCCURRENCES - 1 >= least_overlap(a.astype(np.int64), b.astype(np.int64), percent)
+    return left + np.minimum(p["times"][i], p["times"][j]) - 1 >= least_overlap(a.astype(np.int64), b.astype(np.int64), percent)
 
 
 def _need(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """How often two classes have to occur together in short lists."""
-    return np.minimum(least_overlap(p["size"][i].astype(np.int64), p["size"][j].astype(np.int64), percent), OCCURRENCES)
+    return np.minimum(least_overlap(p["size"][i].astype(np.int64), p["size"][j].astype(np.int64), percent), np.minimum(p["times"][i], p["times"][j]))
 
 
-_ROUND1 = "shingle long, class long, size int, rank int, a long, b long, need long"
+_ROUND1 = "shingle long, class long, size int, rank int, times int, a long, b long, need long"
+_LIST = ["shingle", "class", "size", "rank", "times"]
 
 
 def _first_round(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -190,11 +196,11 @@ def _first_round(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             shared = np.diff(np.append(at, len(starts)))[number] > 1
             i = np.flatnonzero(shared)
             lead = at[number[i]]
-            yield pa.record_batch([*(pa.array(p[c][i]) for c in ("shingle", "class", "size", "rank")), *[pa.nulls(len(i), pa.int64())] * 3], names=["shingle", "class", "size", "rank", "a", "b", "need"])
+            yield pa.record_batch([*(pa.array(p[c][i]) for c in _LIST), *[pa.nulls(len(i), pa.int64())] * 3], names=[*_LIST, "a", "b", "need"])
             pair = (lead != i) & _possible(p, i, lead, percent)
             x, y = p["class"][i[pair]], p["class"][lead[pair]]
             m = len(x)
-            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(_need(p, i[pair], lead[pair], percent))], names=["shingle", "class", "size", "rank", "a", "b", "need"])
+            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.int32())] * 3, pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(_need(p, i[pair], lead[pair], percent))], names=[*_LIST, "a", "b", "need"])
 
     return run
 
@@ -295,14 +301,14 @@ def link(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int = 4, per
     counts = spark.sparkContext.broadcast(_levels((tree_sum(sketches, parts, scratch.table, 8) or [np.zeros(slots)])[0]))
     reps = scratch.table(facts.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
 
-    entries = docs.select("text").mapInArrow(_entries(k, percent, counts), "shingle long, class long, size int, rank int")
+    entries = docs.select("text").mapInArrow(_entries(k, percent, counts), "shingle long, class long, size int, rank int, times int")
     lists = entries.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
     first = scratch.table(lists.mapInArrow(_first_round(percent), _ROUND1))
     links1 = verified(first.filter("a is not null").select("a", "b", "need"), reps, docs, k, percent, scratch)
     near = components(links1, scratch)
 
-    shared = first.filter("a is null").select("shingle", "class", "size", "rank")
-    rooted = shared.join(near, F.col("class") == F.col("node"), "left").select("shingle", "class", "size", "rank", F.coalesce("root", "class").alias("root"))
+    shared = first.filter("a is null").select(*_LIST)
+    rooted = shared.join(near, F.col("class") == F.col("node"), "left").select(*_LIST, F.coalesce("root", "class").alias("root"))
     again = rooted.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
     links2 = verified(again.mapInArrow(_second_round(percent), "a long, b long, need long"), reps, docs, k, percent, scratch)
 
