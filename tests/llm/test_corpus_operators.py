@@ -479,6 +479,32 @@ def test_fingerprints(spark, rows):
 # 9 media
 
 
+def test_texts_without_words_have_no_fingerprint(spark):
+    rows = [(4, ""), (3, " \t "), (2, None), (1, "some words"), (0, "")]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].fingerprint for i in (4, 3, 2, 0)] == [""] * 4 and len(got[1].fingerprint) == 8 * fingerprints.SAMPLES
+    assert (got[4].near_next, got[3].near_next, got[2].near_next, got[1].near_next) == (1.0, 1.0, 0.0, 0.0)
+
+
+def test_very_long_texts(spark, labels):
+    """A text of over a megabyte of words beside short ones: whole results."""
+    rng = random.Random(14)
+    long = words(rng, 200_000, 10**6)
+    assert len(long) > 10**6
+    texts = [long, "short text here", long[:-7] + " the end", words(rng, 60, 10**6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    n = [len(t.split()) for t in texts]
+    found = [r for r in substrings.find(spark, docs).collect() if r.doc_id == 2]
+    assert {r.other_id for r in found} == {0} and sum(r.n_words for r in found) >= n[0] - 10
+    assert {r.doc_id: r.component_id for r in ngram_join.join(spark, docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
+    assert {r.doc_id: r.n_tokens for r in language_model.train_and_score(spark, docs).collect()} == {i: k + 1 for i, k in enumerate(n)}
+    assert {r.doc_id: r.payload_sha256 for r in media.store_and_read(spark, docs).collect()}[0] == hashlib.sha256(long.encode() + bytes(-len(long) % 64)).hexdigest()
+    assert {r.doc_id: r.size for r in mixing.mix(spark, docs).collect()} == dict(enumerate(n))
+    pieces = packing.pack(spark, docs).groupBy("doc_id").sum("n_words").collect()
+    assert {r[0]: r[1] for r in pieces} == dict(enumerate(n))
+    assert quality.score(docs, quality.fit_on(docs, labels)).count() == 4
+
+
 def test_media_round_trip(spark, docs, rows):
     text = {r[0]: (r[1] or "").encode() for r in rows}
     got = media.store_and_read(spark, docs).collect()

@@ -80,8 +80,8 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
         *keys,
         F.posexplode_outer(F.transform("ends", lambda e, j: F.struct(F.get("words", e - 1).alias("term"), (e - F.when(j == 0, 0).otherwise(F.get("ends", j - 1))).alias("w")))).alias("_", "x"),
     ).select(*keys, "x.term", F.ln(F.col("x.w").cast("double")).alias("lnw"))
-    packed = terms.groupBy(*keys).agg(*[_sample(i).alias(f"s{i}") for i in range(samples)])
-    return packed.select(*keys, F.when(F.col("s0").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(samples)])).alias("sig"))
+    packed = terms.groupBy(*keys).agg(F.count("term").alias("n"), *[_sample(i).alias(f"s{i}") for i in range(samples)])
+    return packed.select(*keys, F.when(F.col("n") == 0, F.array().cast("array<bigint>")).otherwise(F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(samples)])).alias("sig"))
 
 
 def to_text(sig: Column) -> Column:

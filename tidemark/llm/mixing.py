@@ -15,6 +15,8 @@ table gives an empty result. Extra columns of the input are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -69,24 +71,25 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: str = "mix",
-    digits: int = 3,
-    keep: list[Column] | None = None,
-    scratch: Scratch | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, with repeats).
 
-    ``digits`` hexadecimal digits of the key name a range: 16**digits ranges a source.
-    ``keep``: a column ``row`` to carry along.
+    ``digits`` hexadecimal digits of the key name a range: 16**digits ranges a source, by default so many that
+    a range has some 10^5 rows at most.
     """
-    weights = weights or [3.0, 1.0, 2.0]
-    scratch = scratch or Scratch(spark, "mix")
-    keep = keep or []
+    with Scratch(spark, "mix") as scratch:
+        return scratch.result(_mix(docs, scratch, weights or [3.0, 1.0, 2.0], share, most, seed, digits, []))
+
+
+def _mix(docs: DataFrame, scratch: Scratch, weights: list[float], share: float, most: float, seed: str, digits: int | None, keep: list[Column]) -> DataFrame:
+    """The rows of ``mix``; ``keep``: a column ``row`` to carry along."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     # The source as a key that is never null, so that one exchange serves the window and the join.
     skey = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    sized = scratch.table(
-        docs.select("doc_id", "source", skey.alias("skey"), word_count(F.col("text")).alias("size"), key.alias("key"), *keep).withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
-    )
+    sized = scratch.table(docs.select("doc_id", "source", skey.alias("skey"), word_count(F.col("text")).alias("size"), key.alias("key"), *keep))
+    digits = digits or max(3, math.ceil(math.log(max(1, sized.count() / 1e5), 16)))
+    sized = sized.withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("long"))
     targets = source_targets(sized.select("source", "size"), weights, share, most).withColumn("t_key", skey)
     before = W.partitionBy("skey").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = sized.groupBy("skey", "range").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -111,7 +114,7 @@ def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     The document that crosses its source's cut is in if half of it or more is taken.
     """
     with Scratch(spark, "mixed") as scratch:
-        taken = mix(spark, docs, keep=[F.struct(*[docs[c] for c in docs.columns]).alias("row")], scratch=scratch)
+        taken = _mix(docs, scratch, [3.0, 1.0, 2.0], 1.5, 2.0, "mix", None, [F.struct(*[docs[c] for c in docs.columns]).alias("row")])
         copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
         return scratch.result(taken.filter("taken > 0").select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_")).select("row.*"))
 

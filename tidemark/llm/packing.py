@@ -89,16 +89,21 @@ def copies_of(text: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
 
 
-def pack(spark: SparkSession, docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096, cluster: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096, cluster: Column | None = None) -> DataFrame:
     """A row for each piece of a text: where it starts, its words, its bin and the bin's words.
 
-    ``cluster`` (a long) says which texts must not share a bin; by default equal texts.
+    ``cluster`` (a long) says which texts must not share a bin; by default equal texts. A shard goes by a row's
+    values, for rows without an id, which may be many equal ones, by their place in the table as well.
     """
-    scratch = scratch or Scratch(spark, "packing")
+    with Scratch(spark, "packing") as scratch:
+        return scratch.result(_packed(docs, scratch, capacity, shard_rows, cluster))
+
+
+def _packed(docs: DataFrame, scratch: Scratch, capacity: int, shard_rows: int, cluster: Column | None) -> DataFrame:
     cluster = copies_of(F.col("text")) if cluster is None else cluster
     sized = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster"), word_count(F.col("text")).alias("size")))
     shards = max(1, math.ceil(sized.count() / shard_rows))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source", "size"), F.lit(shards)).cast("long"))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "source", "size", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(shards)).cast("long"))
 
     def packed(batch: pa.Table) -> pa.Table:
         return _pack_shard(capacity, batch)

@@ -33,6 +33,8 @@ BINS = 4096
 GRADES = 4
 TAIL = 2
 _SHAPE = 6
+#: Rows of features in memory at once.
+_ROWS = 1024
 _U = np.uint64
 
 
@@ -124,7 +126,7 @@ def fit(x: np.ndarray, grade: np.ndarray, steps: int = 250, rate: float = 0.1, r
 def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
     table = sample_labelled(docs, labels, ["quality", "toxic"], remainder(F.col("rated_id"), 3) != 1, max_rows)
     batch = pa.record_batch([table.column("text").combine_chunks()], names=["text"])
-    parts = [features(data, offsets) for _, data, offsets in slices(iter([batch]))]
+    parts = [features(data, offsets) for _, data, offsets in slices(iter([batch]), most=_ROWS)]
     x = np.concatenate(parts) if parts else np.zeros((0, BINS + _SHAPE), np.float32)
     grade = 2 * table.column("quality").to_numpy().astype(np.int64) + (1 - table.column("toxic").to_numpy().astype(np.int64))
     return fit(x, np.clip(grade, 0, GRADES - 1))
@@ -132,7 +134,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Model:
 
 def _scores(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in slices(batches, most=_ROWS):
             expected, tail = model.score(data, offsets)
             yield pa.record_batch([rows.column(0).cast(pa.int64()), pa.array(expected.astype(float)), pa.array(tail.astype(float))], names=["doc_id", "expected_grade", "tail_probability"])
 
