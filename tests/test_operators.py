@@ -233,3 +233,17 @@ def test_precision_recovery_of_uneven_counts(spark):
     assert set(column(prep.recover_precision(rows, "t", ["i"], uneven="null").filter("minute(t) = 1"), "recovered")) == {None}
     with pytest.raises(Exception, match="evenly"):
         prep.recover_precision(rows, "t", ["i"]).collect()
+
+
+def test_nearest_neighbour_models_load_again(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(40, 2)))] + [(100 + i, 9.0, 9.0) for i in range(30)]
+    points = spark.createDataFrame(rows, "i int, a double, b double")
+    for spec, value in ((detect.Knn(("a", "b"), 3), "score"), (detect.KnnDetector(("a", "b"), 3), "label")):
+        model = spec.fit(points)
+        path = str(tmp_path / spec.op_name)
+        model.save(spark, path)
+        want = column(model.run(points).orderBy("i"), value)
+        assert column(load_model(spark, path).run(points).orderBy("i"), value) == want
+    with pytest.raises(NotFitted):
+        detect.Knn(("a", "b")).apply(points, {"rows": 1})

@@ -176,20 +176,31 @@ class Knn(Learnable):
         train = df.select(*[as_double(c).alias(c) for c in self.input_columns])
         return FittedKnn(self, {"rows": train.count()}, train)
 
+    def apply(self, df: DataFrame, state: dict[str, Any]) -> DataFrame:
+        """With the training rows of a saved model."""
+        if "train" not in state:
+            raise NotFitted("a nearest-neighbour model keeps its training rows in a table; save it, and load it with them")
+        return FittedKnn(self, state, df.sparkSession.read.parquet(state["train"])).run(df)
+
 
 @dataclass(frozen=True)
 class FittedKnn(Fitted):
     train: DataFrame
 
     def save(self, spark: Any, path: str) -> None:
-        super().save(spark, f"{path}/spec")
-        self.train.write.mode("overwrite").parquet(f"{path}/train")
+        """The training rows go to a folder beside the state, which Spark's text reader passes over."""
+        Fitted(self.spec, self.stored(path)).save(spark, path)
+        self.train.write.mode("overwrite").parquet(self.stored(path)["train"])
+
+    def stored(self, path: str, number: int = 0) -> dict[str, Any]:
+        return self.state | {"train": f"{path}/_train{number}"}
 
     def run(self, df: DataFrame) -> DataFrame:
         spec, n = self.spec, self.state["rows"]
         k, blocks = min(spec.n_neighbors, n), -(-n // BLOCK)
         out = df.withColumn("_near", F.array().cast("array<double>"))
-        dealt = self.train.withColumn("_block", F.pmod(F.xxhash64(*spec.input_columns), F.lit(blocks)))
+        # By the row and not its values alone: many equal points are several blocks.
+        dealt = self.train.withColumn("_block", F.pmod(F.xxhash64(*spec.input_columns, F.monotonically_increasing_id()), F.lit(blocks)))
         for b in range(blocks):
             points = dealt.filter(F.col("_block") == b).drop("_block").toPandas().to_numpy(float)
             out = _nearer(out, list(spec.input_columns), points, k, spec.metric)
@@ -235,8 +246,6 @@ class _Chain(Learnable):
 
     def apply(self, df: DataFrame, state: dict[str, Any]) -> DataFrame:
         for part, own in zip(self.parts(), state["parts"], strict=True):
-            if own is not None and isinstance(part, Knn):
-                raise NotFitted("a nearest-neighbour model keeps its training rows in a table; load it with them")
             df = part.apply(df, own) if own is not None else part.run(df)  # type: ignore[attr-defined]
         return df
 
@@ -245,6 +254,14 @@ class _Chain(Learnable):
 class Chain(Fitted):
     steps: tuple[Operator | Fitted, ...]
 
+    def save(self, spark: Any, path: str) -> None:
+        """The state, and the training rows of nearest-neighbour parts beside it."""
+        parts = [s.stored(path, i) if isinstance(s, FittedKnn) else own for i, (s, own) in enumerate(zip(self.steps, self.state["parts"], strict=True))]
+        Fitted(self.spec, self.state | {"parts": parts}).save(spark, path)
+        for i, s in enumerate(self.steps):
+            if isinstance(s, FittedKnn):
+                s.train.write.mode("overwrite").parquet(s.stored(path, i)["train"])
+
     def run(self, df: DataFrame) -> DataFrame:
         for s in self.steps:
             df = s.run(df)
