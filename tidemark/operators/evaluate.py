@@ -109,18 +109,31 @@ def curve_points(df: DataFrame, truth: str, score: str, positive: int = 1, decim
     return full.select("place", "threshold", *[named[n].alias(n) for n in ("tpr", "fpr", "precision", "recall", "specificity", "f1", "mcc", "far", "mar")])
 
 
+#: Ranges of [0, 1] that an area is summed over in parallel.
+STRIPS = 1024
+
+
 def _trapezoid(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Area over points sorted by x, ties by place."""
-    order = Window.orderBy(x, "place")
-    area = (F.col(x) - F.lag(x).over(order)) * (F.col(y) + F.lag(y).over(order)) / 2
-    return points.select(area.alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
+    """Area over points sorted by x, ties by place.
+
+    Equal x have no area between them, so their first and last y are enough. What is left has
+    distinct x, parts of a whole number, and these spread evenly over ``STRIPS`` ranges; the
+    ranges are joined by their ends, ``STRIPS`` + 1 rows at most.
+    """
+    at = points.groupBy(F.col(x).alias("x")).agg(F.min_by(y, "place").alias("a"), F.max_by(y, "place").alias("b"))
+    at = at.withColumn("strip", F.floor(F.col("x") * STRIPS))
+    own, over = Window.partitionBy("strip").orderBy("x"), Window.orderBy("strip")
+    area = lambda w, x0, x1, y0, y1: (F.col(x0) - F.lag(x1).over(w)) * (F.col(y0) + F.lag(y1).over(w)) / 2
+    strips = at.withColumn("part", area(own, "x", "x", "a", "b")).groupBy("strip").agg(F.sum("part").alias("part"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min_by("a", "x").alias("y0"), F.max_by("b", "x").alias("y1"))
+    joined = strips.select((F.coalesce("part", F.lit(0.0)) + F.coalesce(area(over, "x0", "x1", "y0", "y1"), F.lit(0.0))).alias("a"))
+    return joined.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
 
 
 def curve_summary(points: DataFrame, mode: str = "compat") -> DataFrame:
     """One row: areas under the ROC and precision-recall points and the best values with their thresholds.
 
     ``compat`` takes the points as they are, so the corner (1, 1) is not reached; ``standard``
-    adds the corners. The points, distinct scores, must be few enough to sort in one task.
+    adds the corners. Areas are summed in parallel, so there may be as many points as rows.
     """
     spark = points.sparkSession
     roc, pr = points.select("fpr", "tpr", "place"), points.select("recall", "precision", "place")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import detect as D
 from tidemark.operators import evaluate as E
 from tidemark.operators import forecast as P
+from tidemark.operators import forecast_run as R
 from tidemark.operators import tune as T
 from tidemark.operators.base import TimeKey
 from tidemark.plans.catalog import query
@@ -87,7 +88,7 @@ for _a in ("maximum", "mean", "median"):
         _knn_query(_a, _m)
 
 
-@query("det_knn_detector")
+@query("det_knn_detector", f"WITH s AS ({_knn_sql('maximum', 'euclidean').replace('round(max(dist), 6)', 'max(dist)')}), q AS (SELECT quantile_cont(score, 0.95) AS t FROM s) SELECT vec_id, CAST(score > t AS INTEGER) AS label FROM s, q")
 def det_knn_detector(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
     return D.KnnDetector(tuple(f"x{i}" for i in range(_DIMS))).fit(points).run(points).select("vec_id", "label")
@@ -139,7 +140,15 @@ for _how in ("heuristic", "mean"):
     _overlap_query(_how)
 
 
-@query("det_window_model")
+_WINDOWS = """
+WITH r AS (SELECT user_id, value, row_number() OVER o - 1 AS k, avg(value) OVER (o ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS m, count(*) OVER (o ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT b.user_id, b.k::INTEGER AS position, abs(b.value - a.m) AS v FROM r a JOIN r b ON a.user_id = b.user_id AND b.k BETWEEN a.k AND a.k + 9 WHERE a.n = 10),
+z AS (SELECT *, row_number() OVER (PARTITION BY user_id, position ORDER BY v) AS j, count(*) OVER (PARTITION BY user_id, position) AS c FROM g)
+SELECT user_id, position, round(avg(v) + stddev_pop(v), 6) AS score FROM z WHERE c <= 5 OR (j > ceil(c * 0.1) AND j <= c - ceil(c * 0.1)) GROUP BY user_id, position
+"""
+
+
+@query("det_window_model", _WINDOWS)
 def det_window_model(spark: SparkSession, d: str) -> DataFrame:
     """A model adapter (here: a window's mean) and the merge of its overlapping scores."""
     events = load(spark, d, "events")
@@ -295,6 +304,20 @@ def fc_linear(spark: SparkSession, d: str) -> DataFrame:
     return model.run(events).select("user_id", "position", F.round("forecast_0", 6).alias("forecast_0"), F.round("forecast_1", 6).alias("forecast_1"))
 
 
+@query("fc_network")
+def fc_network(spark: SparkSession, d: str) -> DataFrame:
+    events = load(spark, d, "events")
+    model = P.NetworkForecaster(("value",), USER, 8, 2, d_model=16, nhead=2, num_layers=1, lag_max=4, epochs=2, max_windows=2000).fit(events)
+    return model.run(events).select("user_id", "position", F.round("forecast_0", 4).alias("forecast_0"), F.round("forecast_1", 4).alias("forecast_1"))
+
+
+@query("fc_run")
+def fc_run(spark: SparkSession, d: str) -> DataFrame:
+    """From the table to the scores of the last window, by linear forecasts."""
+    run = R.forecast_run(_daily(spark, d), DAY, ["c", "v"], "v", 16, 4, "linear_forecaster")
+    return spark.createDataFrame([(n, v) for n, v in sorted(run.scores.items())], "metric string, value double").withColumn("value", F.round("value", 4))
+
+
 @query("fc_seasonal", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events) SELECT user_id, place::INTEGER AS place, round(value, 6) AS forecast FROM r, range(1, 8) t(place) WHERE b = 3 - (place - 1) % 3")
 def fc_seasonal(spark: SparkSession, d: str) -> DataFrame:
     return P.seasonal_naive(load(spark, d, "events"), USER, "value", 3, 7).select("user_id", "place", F.round("forecast", 6).alias("forecast"))
@@ -325,6 +348,13 @@ def _search(spark: SparkSession, d: str, sampler: str, n: int) -> DataFrame:
     return s.frame(spark).select("number", "params", F.round(F.col("scores")["flagged"], 6).alias("flagged"), "state")
 
 
+@query("hpo_grid_values", f"{_EVENT_Z}, p AS (SELECT i AS number, 1.0::DOUBLE + i * 0.9 AS threshold FROM range(0, 11) t(i)) SELECT number::INTEGER AS number, round(threshold, 6) AS threshold, round(avg((score > threshold)::INTEGER), 6) AS flagged FROM z, p GROUP BY number, threshold")
+def hpo_grid_values(spark: SparkSession, d: str) -> DataFrame:
+    """The grid's trials by their thresholds."""
+    found = _search(spark, d, "grid", 11)
+    return found.select(F.col("number").cast("int").alias("number"), F.round(F.get_json_object("params", "$.threshold").cast("double"), 6).alias("threshold"), "flagged")
+
+
 @query("hpo_grid")
 def hpo_grid(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "grid", 11)
