@@ -333,25 +333,30 @@ def merge_rows(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def conflicts(a: DataFrame, b: DataFrame, time: str) -> DataFrame:
-    """Cells of common columns that differ as text at equal times."""
-    common = [c for c in a.columns if c in b.columns and c != time]
-    pairs = a.select(time, *[F.col(c).alias(f"a_{c}") for c in common]).join(b.select(time, *[F.col(c).alias(f"b_{c}") for c in common]), time)
+def _keys(time: str | list[str]) -> list[str]:
+    return [time] if isinstance(time, str) else list(time)
+
+
+def conflicts(a: DataFrame, b: DataFrame, time: str | list[str]) -> DataFrame:
+    """Cells of common columns that differ as text at equal times (and keys, if ``time`` lists some)."""
+    keys = _keys(time)
+    common = [c for c in a.columns if c in b.columns and c not in keys]
+    pairs = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in common]).join(b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in common]), keys)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(F.col(f"a_{c}").cast("string")).alias("a"), F.trim(F.col(f"b_{c}").cast("string")).alias("b")) for c in common]))
-    return pairs.select(time, cells.alias("x")).select(time, "x.*").filter("a <> b")
+    return pairs.select(*keys, cells.alias("x")).select(*keys, "x.*").filter("a <> b")
 
 
-def merge_columns(parts: list[DataFrame], time: str) -> DataFrame:
+def merge_columns(parts: list[DataFrame], time: str | list[str]) -> DataFrame:
     """All times of all parts with all columns; a column of several parts takes the first value that is not null."""
-    out = parts[0]
+    keys, out = _keys(time), parts[0]
     for p in parts[1:]:
-        common = [c for c in p.columns if c in out.columns and c != time]
+        common = [c for c in p.columns if c in out.columns and c not in keys]
         renamed = p.withColumnsRenamed({c: f"_{c}" for c in common})
-        out = out.join(renamed, time, "full_outer").withColumns({c: F.coalesce(c, f"_{c}") for c in common}).drop(*[f"_{c}" for c in common])
+        out = out.join(renamed, keys, "full_outer").withColumns({c: F.coalesce(c, f"_{c}") for c in common}).drop(*[f"_{c}" for c in common])
     return out
 
 
-def merge_aligned(parts: list[DataFrame], time: str) -> DataFrame:
+def merge_aligned(parts: list[DataFrame], time: str | list[str]) -> DataFrame:
     """Parts of equal columns are appended, the results joined by time."""
     groups: dict[tuple, list[DataFrame]] = {}
     for p in parts:
@@ -359,11 +364,12 @@ def merge_aligned(parts: list[DataFrame], time: str) -> DataFrame:
     return merge_columns([merge_rows(g) for g in groups.values()], time)
 
 
-def merge_checked(parts: list[DataFrame], time: str) -> DataFrame:
+def merge_checked(parts: list[DataFrame], time: str | list[str]) -> DataFrame:
     """merge_columns, after no two parts contradict each other."""
+    keys = set(_keys(time))
     for i, a in enumerate(parts):
         for b in parts[i + 1 :]:
-            if set(a.columns) & set(b.columns) - {time} and not conflicts(a, b, time).isEmpty():
+            if set(a.columns) & set(b.columns) - keys and not conflicts(a, b, time).isEmpty():
                 raise ValueError("parts contradict each other at equal times")
     return merge_columns(parts, time)
 
@@ -406,6 +412,7 @@ class PrepSpec:
     seconds: int | None = None
     k: int = 15
     mode: str = "gap_aware"
+    partition_by: list[str] = field(default_factory=list)
 
 
 def clean(df: DataFrame, spec: PrepSpec) -> DataFrame:
@@ -422,25 +429,38 @@ def clean(df: DataFrame, spec: PrepSpec) -> DataFrame:
 
 
 def resample(df: DataFrame, spec: PrepSpec) -> DataFrame:
-    """Cells on an even grid: columns by the last value, labels by the nearest. ``gap_aware`` empties what lies in a gap of k steps."""
-    seconds = spec.seconds or int(mode_interval(df, spec.time).first()[0])
-    points = grid(df, spec.time, seconds)
+    """Cells on an even grid: columns by the last value, labels by the nearest. ``gap_aware`` empties what lies in a gap of k steps.
+
+    Series have grids of their own, by one step: the given one, or the commonest of all series together.
+    """
+    by = spec.partition_by
+    if spec.seconds:
+        seconds = spec.seconds
+    else:
+        steps = intervals(df, spec.time, by).groupBy("micros").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", -F.col("micros"))).alias("m")).first()["m"]
+        seconds = max(1, int(-steps[1] // 1_000_000)) if steps else 1
+    points = grid(df, spec.time, seconds, by)
     plain = [c for c in spec.columns if c not in spec.labels]
-    out = as_of(points, df, spec.time, plain, [])
+    out = as_of(points, df, spec.time, plain, by)
     if spec.mode == "gap_aware":
         stamped = df.withColumns({f"_t_{c}": F.when(F.col(c).isNotNull(), F.col(spec.time)) for c in plain})
-        stamps = as_of(points, stamped, spec.time, [f"_t_{c}" for c in plain], [])
+        stamps = as_of(points, stamped, spec.time, [f"_t_{c}" for c in plain], by)
         limit = spec.k * seconds * 1_000_000
-        joined = out.join(stamps, "t")
+        joined = out.join(stamps, [*by, "t"])
         age = lambda c: F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(F.col(f"_t_{c}").cast("timestamp"))
-        out = joined.select("t", *[F.when(F.abs(age(c)) < limit, F.col(c)).alias(c) for c in plain])
+        out = joined.select(*by, "t", *[F.when(F.abs(age(c)) < limit, F.col(c)).alias(c) for c in plain])
     if spec.labels:
-        out = out.join(as_of(points, df, spec.time, spec.labels, [], "nearest"), "t")
+        out = out.join(as_of(points, df, spec.time, spec.labels, by, "nearest"), [*by, "t"])
     return out.withColumnRenamed("t", spec.time)
 
 
 def run_chain(parts: list[DataFrame], spec: PrepSpec) -> DataFrame:
-    """Merge, clean, resample, segment: one lazy plan between the decisions that need data."""
-    merged = merge_checked(parts, spec.time) if len(parts) > 1 else parts[0]
+    """Merge, clean, resample, segment: one lazy plan between the decisions that need data.
+
+    With ``partition_by`` every series is resampled and segmented by itself, in parallel.
+    """
+    keys = [*spec.partition_by, spec.time]
+    merged = merge_checked(parts, keys) if len(parts) > 1 else parts[0]
     even = resample(clean(merged, spec), spec)
-    return reorder(segments(even, spec.columns, [spec.time]), spec.time, spec.labels, spec.columns)
+    cut = segments(even, spec.columns, [spec.time], spec.partition_by)
+    return reorder(cut, spec.time, spec.labels, spec.columns)

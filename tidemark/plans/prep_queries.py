@@ -208,8 +208,39 @@ def prep_quality(spark: SparkSession, d: str) -> DataFrame:
     return P.quality(load(spark, d, "events"), "ts", ["value"])
 
 
-@query("prep_chain")
+def _chain_sql(by: str) -> str:
+    """The chain over hours by SQL, whole or with a chain for each value of a key."""
+    k, on = (f"{by}, ", f"USING ({by})") if by else ("", "ON true")
+    match = f"g.{by} = c.{by} AND " if by else ""
+    rows = f"SELECT {k}date_trunc('second', ts) AS t, arg_max(value, event_id) FILTER (event_type = 'click') AS click, arg_max(value, event_id) FILTER (event_type = 'view') AS view FROM events GROUP BY ALL HAVING count(*) FILTER (event_type IN ('click', 'view')) > 0"
+    cell = lambda c: f"{c} AS (SELECT {k}t, {c} FROM h WHERE {c} IS NOT NULL), f{c} AS (SELECT {k}min(t) AS ft, arg_min({c}, t) AS fv FROM {c} GROUP BY ALL)"
+    at = lambda c: f"a{c} AS (SELECT {'g.' + k if by else ''}g.t, coalesce(c.{c}, f.fv) AS v, coalesce(c.t, f.ft) AS s FROM g ASOF LEFT JOIN {c} c ON {match}g.t >= c.t LEFT JOIN f{c} f {('ON f.' + by + ' = g.' + by) if by else 'ON true'})"
+    kept = lambda c: f"CASE WHEN abs(epoch_us(a{c}.t) - epoch_us(a{c}.s)) < 24 * 3600 * 1000000::BIGINT THEN a{c}.v END AS {c}"
+    part = f"PARTITION BY {by} " if by else ""
+    both = f"aclick JOIN aview USING ({k}t)"
+    return f"""
+WITH r AS ({rows}), h AS (SELECT * REPLACE (CASE WHEN click BETWEEN 0 AND 1000 THEN click END AS click) FROM r),
+e AS (SELECT {k}min(t) AS t0, max(t) AS t1 FROM h GROUP BY ALL), g AS (SELECT {k}unnest(generate_series(t0, t1, INTERVAL 3600 SECOND)) AS t FROM e),
+{cell("click")}, {cell("view")}, {at("click")}, {at("view")},
+j AS (SELECT {k}aclick.t AS t, {kept("click")}, {kept("view")} FROM {both}),
+o AS (SELECT *, click IS NULL AND view IS NULL AS cut FROM j),
+s AS (SELECT *, CASE WHEN NOT cut AND coalesce(lag(cut) OVER ({part}ORDER BY t), true) THEN 1 ELSE 0 END AS opens FROM o),
+n AS (SELECT *, sum(opens) OVER ({part}ORDER BY t) AS segment FROM s)
+SELECT {k}t, click, view, segment::BIGINT AS segment FROM n WHERE NOT cut
+"""
+
+
+@query("prep_chain", _chain_sql(""))
 def prep_chain(spark: SparkSession, d: str) -> DataFrame:
     """Merge, clean, resample and segment in one plan."""
     spec = P.PrepSpec(time="t", columns=["click", "view"], seconds=3600, k=24, ranges={"click": (0.0, 1000.0)})
     return P.run_chain([_by_type(spark, d, "click"), _by_type(spark, d, "view")], spec)
+
+
+@query("prep_chain_series", _chain_sql("user_id"))
+def prep_chain_series(spark: SparkSession, d: str) -> DataFrame:
+    """The same for each user, in parallel."""
+    second = F.date_trunc("second", "ts").cast("timestamp_ntz").alias("t")
+    parts = [load(spark, d, "events").filter(F.col("event_type") == k).groupBy("user_id", second).agg(F.max_by("value", "event_id").alias(k)) for k in ("click", "view")]
+    spec = P.PrepSpec(time="t", columns=["click", "view"], seconds=3600, k=24, ranges={"click": (0.0, 1000.0)}, partition_by=["user_id"])
+    return P.run_chain(parts, spec)
