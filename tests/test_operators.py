@@ -176,6 +176,43 @@ def test_search():
     assert bad.trials[0].state == "pruned"
 
 
+def test_search_prunes_by_the_median():
+    rank = iter([1, 2, 3, 4, 5, 9, 0])
+    reached = []
+
+    def objective(p):
+        cost = next(rank)
+        for step in range(3):
+            reached.append((cost, step))
+            yield {"loss": float(cost)}
+
+    s = tune.Search(tune.space(detect.ZScoreDetector), {"loss": "min"}, median=True)
+    with pytest.warns(UserWarning, match="median at step 1"):
+        s.run(objective, 7)
+    assert [t.state for t in s.trials] == ["complete"] * 5 + ["pruned", "complete"]
+    assert [r for r in reached if r[0] == 9] == [(9, 0)] and s.best()[0].number == 6
+
+
+def test_search_ranks_several_goals_and_raises_faults():
+    s = tune.Search(tune.space(detect.ZScoreDetector), {"a": "max", "b": "min"})
+    s.trials = [tune.Trial(0, {}, {"a": 1.0, "b": 0.0}), tune.Trial(1, {}, {"a": 3.0, "b": 1.0}), tune.Trial(2, {}, {"a": 2.0, "b": 9.0}), tune.Trial(3, {}, {"a": 0.0, "b": 10.0})]
+    assert [t.number for t in s.best(4)] == [1, 0, 2, 3]
+    with pytest.raises(TypeError):
+        tune.Search(tune.space(detect.ZScoreDetector), {"a": "max"}).run(lambda p: {"a": 1 + "x"}, 1)
+
+
+def test_validation_strategies(spark):
+    df = spark.range(1000)
+    sizes = lambda train, test: {"train": train.count(), "test": test.count(), "common": train.join(test, "id").count()}
+    assert tune.validate(df, sizes, ["id"], given=spark.range(1000, 1010), k=5) == {"train": 1000, "test": 10, "common": 0}
+    assert tune.validate(df, sizes, ["id"], k=4, share=0.5) == {"train": 750, "test": 250, "common": 0}
+    part = tune.validate(df, sizes, ["id"], share=0.2)
+    assert part["train"] + part["test"] == 1000 and 150 < part["test"] < 250 and part["common"] == 0
+    for bad in ({}, {"k": 1}, {"share": 1.0}):
+        with pytest.raises(ValueError):
+            tune.validate(df, sizes, ["id"], **bad)
+
+
 def test_history(spark, tmp_path):
     h = tune.History("t", {"a": 1}, {"y": "max"})
     h.append({"a": 0.5}, {"y": 1.0})

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
 import dataclasses
 import itertools
 import json
 import math
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.base import Operator
+from tidemark.operators.base import NotFitted, Operator
 from tidemark.runtime import delete
 
 
@@ -101,7 +103,15 @@ class Trial:
     state: str = "complete"
 
 
-Objective = Callable[[dict[str, Any]], dict[str, float]]
+Objective = Callable[[dict[str, Any]], dict[str, float] | Iterable[dict[str, float]]]
+
+
+class Pruned(ValueError):
+    pass
+
+
+#: What a trial may fail with and be recorded; anything else is a fault of the objective's code.
+FAILURES = (ValueError, ArithmeticError, np.linalg.LinAlgError, PySparkException, NotFitted)
 
 
 @dataclass
@@ -109,7 +119,11 @@ class Search:
     """Random, grid or TPE-like search. ``goals`` says of each score whether it is to be max or min.
 
     A trial is a function of parameters that runs Spark jobs; ``parallel`` trials run at once
-    from driver threads, and a failing one is recorded, not raised.
+    from driver threads. One that Spark or its numbers fail is recorded as pruned; an error in the
+    objective's own code is raised. An objective may yield its scores step by step (say, fold by
+    fold): its result is their mean, and with ``median`` a trial whose mean so far is worse than the median
+    of at least five earlier trials' at that step is pruned there. With several goals the records'
+    sum of ranks counts.
     """
 
     dimensions: list[Dimension]
@@ -118,17 +132,40 @@ class Search:
     seed: int = 0
     parallel: int = 1
     trials: list[Trial] = field(default_factory=list)
+    median: bool = False
+    _paths: dict[int, list[float]] = field(default_factory=dict, repr=False)
 
-    def _sign(self, t: Trial) -> float:
-        name = next(iter(self.goals))
-        v = t.scores[name]
-        return -v if self.goals[name] == "max" else v
+    def _cost(self, scores: dict[str, float], name: str) -> float:
+        return -scores[name] if self.goals[name] == "max" else scores[name]
+
+    def ranked(self) -> list[Trial]:
+        """The complete trials, the best first: by their sum of ranks over the goals, ties by number."""
+        done = [t for t in self.trials if t.state == "complete"]
+        sums = dict.fromkeys((t.number for t in done), 0.0)
+        for name in self.goals:
+            costs = sorted(self._cost(t.scores, name) for t in done)
+            for t in done:
+                sums[t.number] += bisect.bisect_left(costs, self._cost(t.scores, name))
+        return sorted(done, key=lambda t: (sums[t.number], t.number))
+
+    def _stepwise(self, number: int, steps: Iterator[dict[str, float]]) -> dict[str, float]:
+        """The mean of yielded scores, unless the median rule stops them."""
+        first, seen = next(iter(self.goals)), []
+        path = self._paths.setdefault(number, [])
+        for scores in steps:
+            seen.append(scores)
+            path.append(float(np.mean([self._cost(s, first) for s in seen])))
+            rivals = [p[len(path) - 1] for n, p in sorted(self._paths.items()) if n < number and len(p) >= len(path)]
+            if self.median and len(rivals) >= 5 and path[-1] > np.median(rivals):
+                raise Pruned(f"worse than the median at step {len(path)}")
+        if not seen:
+            raise ValueError("an objective without scores")
+        return {n: float(np.mean([s[n] for s in seen])) for n in seen[0]}
 
     def suggest(self, number: int) -> dict[str, Any]:
         rng = np.random.default_rng([self.seed, number])
-        done = [t for t in self.trials if t.state == "complete"]
-        if self.sampler == "tpe" and len(done) >= 10:
-            done.sort(key=self._sign)
+        done = self.ranked() if self.sampler == "tpe" else []
+        if len(done) >= 10:
             good, bad = done[: max(2, len(done) // 4)], done[max(2, len(done) // 4) :]
             out = {}
             for d in self.dimensions:
@@ -150,10 +187,12 @@ class Search:
             params = todo[number] if todo is not None else self.suggest(number)
             try:
                 scores = objective(params)
+                if not isinstance(scores, dict):
+                    scores = self._stepwise(number, iter(scores))
                 if any(not math.isfinite(v) for v in scores.values()):
                     raise ValueError("a score is not finite")
                 return Trial(number, params, scores)
-            except Exception as e:  # noqa: BLE001 - a failing trial is a result
+            except FAILURES as e:
                 warnings.warn(f"trial {number}: {e}", stacklevel=2)
                 return Trial(number, params, {}, "pruned")
 
@@ -168,7 +207,7 @@ class Search:
         return self.trials
 
     def best(self, top: int = 1) -> list[Trial]:
-        return sorted((t for t in self.trials if t.state == "complete"), key=self._sign)[:top]
+        return self.ranked()[:top]
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(t.number, json.dumps(t.params, default=str), {k: float(v) for k, v in t.scores.items()}, t.state) for t in self.trials]
@@ -186,6 +225,22 @@ def cross_validate(df: DataFrame, k: int, score: Callable[[DataFrame, DataFrame]
     return {n: float(np.mean([s[n] for s in every])) for n in every[0]}
 
 
+def validate(df: DataFrame, score: Callable[[DataFrame, DataFrame], dict[str, float]], key: list[str], given: DataFrame | None = None, k: int | None = None, share: float | None = None, seed: int = 0) -> dict[str, float]:
+    """Scores on rows that do not train, by the first that is there: a table of its own, ``k`` folds, a ``share`` drawn by a hash of the key."""
+    if given is not None:
+        return score(df, given)
+    if k is not None:
+        if k < 2:
+            raise ValueError("cross-validation needs two folds or more")
+        return cross_validate(folds(df, key, k, seed), k, score)
+    if share is None:
+        raise ValueError("validation needs a table, folds or a share")
+    if not 0 < share < 1:
+        raise ValueError("a share is between 0 and 1")
+    kept = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    return score(df.filter(~kept), df.filter(kept))
+
+
 def rank_sums(records: DataFrame, objectives: dict[str, str], order: str, method: str = "ordinal") -> DataFrame:
     """Each record's sum of ranks over the objectives, the least the best.
 
@@ -233,6 +288,8 @@ class History:
         return cls(**json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
     def suggest(self, n: int, dimensions: list[Dimension], seed: int = 0) -> list[dict[str, Any]]:
-        """``n`` proposals: random below five records, then TPE-like on the first objective."""
+        """``n`` proposals: random below ten records, then TPE-like on the sum of ranks over the objectives."""
+        if len(self.records) < 5:
+            warnings.warn(f"{len(self.records)} records: under five, proposals are as good as random", stacklevel=2)
         s = Search(dimensions, self.objectives, "tpe", seed, trials=[Trial(i, r["x"], r["y"]) for i, r in enumerate(self.records)])
         return [s.suggest(len(self.records) + i) for i in range(n)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import PurePosixPath
 from typing import Any
 
@@ -13,13 +14,13 @@ SEPARATORS = {".csv": ",", ".tsv": "\t"}
 RESERVED = (".mat", ".h5", ".hdf5")
 
 
-def read_table(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, typed: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """A table by its suffix. ``typed`` False reads every csv cell as it stands, as text."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix in RESERVED:
         raise ValueError(f"{suffix} is not supported")
     if suffix in SEPARATORS:
-        reader = spark.read.option("header", True).option("sep", SEPARATORS[suffix]).option("encoding", "UTF-8")
+        reader = spark.read.option("header", True).option("sep", SEPARATORS[suffix]).option("encoding", encoding)
         return reader.option("inferSchema", True).csv(path) if typed else reader.option("inferSchema", False).option("nullValue", "\0").option("emptyValue", "").csv(path)
     if suffix == ".json":
         return spark.read.json(path)
@@ -50,6 +51,36 @@ def scan_folder(spark: SparkSession, path: str, skip: list[str] | None = None) -
     return out.filter(~name.isin(*skip)) if skip else out
 
 
+def folder_files(spark: SparkSession, path: str) -> DataFrame:
+    """The csv files under a folder: ``file``, ``size`` in bytes, ``skipped`` (empty, header only) or null; in lower-case order.
+
+    Names and sizes are listed by the driver, as for any scan; Spark's own listing leaves empty files out.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, rows = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getPath().getName().lower().endswith(".csv"):
+            rows.append((f.getPath().toUri().getPath(), f.getLen()))
+    files = spark.createDataFrame(rows, "file string, size long")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path).filter(F.trim("value") != "")
+    # URIs come escaped, with or without an authority; a plus sign in them is one.
+    clear = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    counted = lines.groupBy(clear.alias("file")).agg(F.count("*").alias("_n"))
+    why = F.when(F.col("size") == 0, "empty").when(F.coalesce("_n", F.lit(0)) <= 1, "header only")
+    return files.join(counted, "file", "left").select("file", "size", why.alias("skipped")).orderBy(F.lower("file"))
+
+
+def _plain_json(text: str) -> str:
+    """JSON without the comments and closing commas, which strings keep."""
+    tokens = re.findall(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/|[^"/]+|.', text, re.S)
+    kept = [x for x in tokens if not x.startswith(("//", "/*"))]
+    out: list[str] = []
+    for x in re.findall(r'"(?:\\.|[^"\\])*"|[^"]+', "".join(kept)):
+        out.append(x if x.startswith('"') else re.sub(r",(\s*[}\]])", r"\1", x))
+    return "".join(out)
+
+
 def read_config(spark: SparkSession, path: str) -> dict[str, Any]:
     """JSON, YAML or JSON with comments, by the suffix."""
     text = spark.read.text(path, wholetext=True).first()[0]
@@ -59,10 +90,7 @@ def read_config(spark: SparkSession, path: str) -> dict[str, Any]:
 
         return yaml.safe_load(text)
     if suffix == ".json5":
-        import re
-
-        text = re.sub(r"//[^\n]*|/\*.*?\*/", "", text, flags=re.S)
-        text = re.sub(r",(\s*[}\]])", r"\1", text)
+        text = _plain_json(text)
     return json.loads(text)
 
 
