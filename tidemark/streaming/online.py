@@ -72,3 +72,10 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def through(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Everything a stream has now, written as Parquet below ``folder`` and read back: for results of any size."""
+    q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
