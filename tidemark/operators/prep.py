@@ -413,6 +413,7 @@ class PrepSpec:
     k: int = 15
     mode: str = "gap_aware"
     partition_by: list[str] = field(default_factory=list)
+    maps: dict[str, dict[str, int]] = field(default_factory=dict)
 
 
 def clean(df: DataFrame, spec: PrepSpec) -> DataFrame:
@@ -422,7 +423,7 @@ def clean(df: DataFrame, spec: PrepSpec) -> DataFrame:
     out = convert_types(out, target_types(type_counts(out, plain))) if plain else out
     out = out.withColumns({c: convert_unit(F.col(c).cast("double"), *u) for c, u in spec.units.items()}) if spec.units else out
     for c in spec.categories:
-        out = encode_category(out, c, first_seen_codes(out, c, [spec.time]))
+        out = encode_category(out, c, first_seen_codes(out, c, [spec.time], spec.maps.get(c)))
     for c in spec.labels:
         out = encode_label(out, c)
     return drop_outliers(out, spec.ranges, spec.sentinels) if spec.ranges or spec.sentinels else out
