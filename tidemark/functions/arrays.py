@@ -119,13 +119,14 @@ SCALAR: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def windows(c: Column, win: int, stride: int = 1, padding: str = "backward") -> Column:
-    """array<array<double>>: one window for each element of a cell.
+def over_windows(c: Column, win: int, stride: int, padding: str, f: Callable[[Column], Column], kind: str) -> Column:
+    """array<kind>: a function of one window for each element of a cell.
 
     The cell is extended circularly by what the windows need, before it (backward), after it
     (forward) or on both sides, by at most its own length on a side. With a stride every
-    window is repeated ``stride`` times and the result is cut to the cell's length at the end
-    (backward), the start (forward) or the middle.
+    window's result is repeated ``stride`` times and the array is cut to the cell's length at the
+    end (backward), the start (forward) or the middle. Windows are cut one at a time, so a cell
+    takes the memory of its length and not of all its windows.
     """
     if win <= 0 or stride <= 0:
         raise ValueError("win and stride must be positive")
@@ -134,15 +135,24 @@ def windows(c: Column, win: int, stride: int = 1, padding: str = "backward") ->
     front = {"backward": need, "forward": F.lit(0), "bidirectional": F.floor(need / 2).cast("int")}[padding]
     back = F.least(need - front, n)
     front = F.least(front, n)
+
+    def inside(padded: Column) -> Column:
+        count = F.least(n, F.floor((F.size(padded) - win) / stride).cast("int") + 1)
+        out = F.transform(F.sequence(F.lit(0), count - 1), lambda i: f(F.slice(padded, i * stride + 1, F.lit(win))))
+        if stride > 1:
+            repeated = F.flatten(F.transform(out, lambda v: F.array_repeat(v, stride)))
+            skip = F.size(repeated) - n
+            start = {"backward": skip, "forward": F.lit(0), "bidirectional": F.floor(skip / 2).cast("int")}[padding]
+            out = F.slice(repeated, start + 1, n)
+        return F.when(F.size(padded) < win, F.raise_error(F.lit("a window is longer than its padded signal")).cast(f"array<{kind}>")).otherwise(out)
+
     padded = F.concat(F.slice(c, n - front + 1, front), c, F.slice(c, F.lit(1), back))
-    count = F.least(n, F.floor((F.size(padded) - win) / stride).cast("int") + 1)
-    raw = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(padded, i * stride + 1, F.lit(win)))
-    if stride > 1:
-        repeated = F.flatten(F.transform(raw, lambda w: F.array_repeat(w, stride)))
-        skip = F.size(repeated) - n
-        start = {"backward": skip, "forward": F.lit(0), "bidirectional": F.floor(skip / 2).cast("int")}[padding]
-        raw = F.slice(repeated, start + 1, n)
-    return F.when(n == 0, F.array().cast("array<array<double>>")).when(F.size(padded) < win, F.raise_error(F.lit("a window is longer than its padded signal")).cast("array<array<double>>")).otherwise(raw)
+    return F.when(n == 0, F.array().cast(f"array<{kind}>")).otherwise(let(padded, inside))
+
+
+def windows(c: Column, win: int, stride: int = 1, padding: str = "backward") -> Column:
+    """array<array<double>>: the windows themselves."""
+    return over_windows(c, win, stride, padding, lambda w: w, "array<double>")
 
 
 def _std(w: Column) -> Column:
@@ -191,7 +201,7 @@ def smooth(c: Column, what: str, win: int = 30, stride: int = 1, padding: str =
     if what == "slope" and win < 2:
         return F.transform(c, lambda x: F.lit(0.0))
     base, after = SMOOTH[what]
-    out = F.transform(windows(c, win, stride, padding), lambda w: base(w))
+    out = over_windows(c, win, stride, padding, base, "double")
     return let(out, after) if after else out
 
 
