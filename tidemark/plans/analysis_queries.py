@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,22 @@ def det_pca_detector(spark: SparkSession, d: str) -> DataFrame:
     return D.PcaDetector(tuple(NUMBERS), 3).fit(lines).run(lines).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("det_pca_predict", f"{_PCA2} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(px, 6) AS quantity, round(py, 6) AS discount FROM p")
+def det_pca_predict(spark: SparkSession, d: str) -> DataFrame:
+    lines = load(spark, d, "lineitem")
+    out = D.PcaPredictor(("l_quantity", "l_discount"), 1).fit(lines).run(lines)
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("l_quantity_pred", 6).alias("quantity"), F.round("l_discount_pred", 6).alias("discount"))
+
+
+@query("det_pca_pair", f"{_PCA2}, z AS (SELECT ((x - px) ** 2 + (y - py) ** 2) / 2 AS score FROM p), q AS (SELECT quantile_cont(score, 0.95) AS t FROM z) SELECT CAST(score > t + 1e-9 AS INTEGER) AS label, count(*) AS n FROM z, q GROUP BY 1")
+def det_pca_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Scores and a percentile in a chain, of two columns; scores equal to the threshold up to rounding are under it."""
+    lines = load(spark, d, "lineitem")
+    model = D.PcaDetector(("l_quantity", "l_discount"), 1).fit(lines)
+    threshold = model.state["parts"][1]["threshold"]
+    return model.run(lines).select(((F.col("label") == 1) & (F.col("score") > threshold + 1e-9)).cast("int").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("det_composite", f"{_Z}, q AS (SELECT quantile_cont(score, 0.9) AS t FROM z) SELECT CAST(score > t AS INTEGER) AS label, count(*) AS n FROM z, q GROUP BY 1")
 def det_composite(spark: SparkSession, d: str) -> DataFrame:
     lines = load(spark, d, "lineitem")
@@ -247,7 +264,21 @@ def eval_forecast(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
-@query("eval_dtw")
+#: Row by row of the cost matrix: along a row, costs add up from where the row before is left.
+_DTW = """
+WITH RECURSIVE e AS (SELECT user_id, value, user_id::DOUBLE AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+d AS (
+  SELECT a.user_id, 1::BIGINT AS i, b.k AS j, sum(abs(a.value - b.p)) OVER (PARTITION BY a.user_id ORDER BY b.k) AS c FROM e a JOIN e b ON a.user_id = b.user_id WHERE a.k = 1
+  UNION ALL
+  SELECT user_id, i, j, s + min(m - s + cost) OVER (PARTITION BY user_id ORDER BY j) AS c FROM (
+    SELECT *, sum(cost) OVER (PARTITION BY user_id ORDER BY j) AS s FROM (
+      SELECT d.user_id, d.i + 1 AS i, d.j, abs(a.value - b.p) AS cost, least(d.c, lag(d.c) OVER (PARTITION BY d.user_id ORDER BY d.j)) AS m
+      FROM d JOIN e a ON a.user_id = d.user_id AND a.k = d.i + 1 JOIN e b ON b.user_id = d.user_id AND b.k = d.j) x) y)
+SELECT d.user_id, round(c / n, 6) AS dtw FROM d JOIN e ON e.user_id = d.user_id AND e.k = d.i WHERE i = n AND j = n
+"""
+
+
+@query("eval_dtw", _DTW)
 def eval_dtw(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events").select("user_id", "ts", "event_id", "value", F.col("user_id").cast("double").alias("p"))
     return E.dtw(events, "value", "p", ["ts", "event_id"], ["user_id"]).select("user_id", F.round("dtw", 6).alias("dtw"))
@@ -304,6 +335,13 @@ def fc_linear(spark: SparkSession, d: str) -> DataFrame:
     return model.run(events).select("user_id", "position", F.round("forecast_0", 6).alias("forecast_0"), F.round("forecast_1", 6).alias("forecast_1"))
 
 
+@query("fc_model", "WITH r AS (SELECT user_id, value, row_number() OVER o AS k, avg(value) OVER (o ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS m FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, k::INTEGER AS position, round(m, 6) AS forecast_0, round(2 * value - m, 6) AS forecast_1 FROM r WHERE k >= 8")
+def fc_model(spark: SparkSession, d: str) -> DataFrame:
+    """A model from outside as a function of windows (here: their mean, and the last value mirrored at it)."""
+    out = P.model_forecast(load(spark, d, "events"), USER, ["value"], 8, 2, lambda x: np.stack([x.mean(axis=(1, 2)), 2 * x[:, -1, 0] - x.mean(axis=(1, 2))], axis=1))
+    return out.select("user_id", "position", F.round("forecast_0", 6).alias("forecast_0"), F.round("forecast_1", 6).alias("forecast_1"))
+
+
 @query("fc_network")
 def fc_network(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events")
@@ -355,6 +393,23 @@ def hpo_grid_values(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("number").cast("int").alias("number"), F.round(F.get_json_object("params", "$.threshold").cast("double"), 6).alias("threshold"), "flagged")
 
 
+@query("hpo_best", f"{_EVENT_Z}, p AS (SELECT i AS number, 1.0::DOUBLE + i * 0.9 AS threshold FROM range(0, 11) t(i)), f AS (SELECT number, avg((score > threshold)::INTEGER) AS flagged FROM z, p GROUP BY number) SELECT number::INTEGER AS number, round(flagged, 6) AS flagged FROM f ORDER BY f.flagged DESC, number LIMIT 3")
+def hpo_best(spark: SparkSession, d: str) -> DataFrame:
+    """The three best trials of a grid."""
+    events = load(spark, d, "events")
+    scored = D.ZScore(("value",)).fit(events).run(events)
+    s = T.Search(T.space(D.ZScoreDetector), {"flagged": "max"}, "grid")
+    s.run(lambda p: {"flagged": float(D.Threshold(p["threshold"]).run(scored).agg(F.avg("label")).first()[0])}, 11)
+    return spark.createDataFrame([(t.number, t.scores["flagged"]) for t in s.best(3)], "number int, flagged double").withColumn("flagged", F.round("flagged", 6))
+
+
+@query("hpo_ranksum_top", "WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 + row_number() OVER (ORDER BY s_nationkey, s_suppkey) - 1 AS rank_sum FROM supplier) SELECT s_suppkey, rank_sum::DOUBLE AS rank_sum FROM r ORDER BY r.rank_sum, s_suppkey LIMIT 5")
+def hpo_ranksum_top(spark: SparkSession, d: str) -> DataFrame:
+    """The five records of least rank sum, the report's table."""
+    ranked = T.rank_sums(load(spark, d, "supplier"), {"s_acctbal": "max", "s_nationkey": "min"}, "s_suppkey")
+    return ranked.select("s_suppkey", "rank_sum").orderBy("rank_sum", "s_suppkey").limit(5)
+
+
 @query("hpo_grid")
 def hpo_grid(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "grid", 11)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import inspect as I
+from tidemark.operators import prep
 from tidemark.plans.catalog import query
 from tidemark.runtime import load
 
@@ -76,3 +77,9 @@ def insp_unit_row(spark: SparkSession, d: str) -> DataFrame:
     events = load(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("number"), F.col("value").cast("string").alias("value"))
     first = events.agg((F.min("event_id") - 1).alias("event_id")).select("event_id", F.lit("count").alias("number"), F.lit("kPa").alias("value"))
     return I.drop_unit_row(first.unionByName(events), ["number", "value"], ["event_id"]).select("event_id", "value")
+
+
+@query("insp_samples", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 5")
+def insp_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first five rows' cells, a report's samples."""
+    return prep.samples(load(spark, d, "events"), ["event_id", "event_type", "value"], ["event_id"])
