@@ -350,6 +350,36 @@ def test_hot_and_cold_keys_give_equal_passages(spark):
     assert len(want) == 8 and want <= {(r[0], r[1]) for r in found[0]}
 
 
+def test_links_behind_lines_that_many_documents_share(spark):
+    """Copies of a passage whose middle stands in many other documents, of smaller and greater ids, and groups of equal texts."""
+    rng = random.Random(31)
+    line = words(rng, 45, 10**6)
+    texts = [" ".join([words(rng, 30, 10**6), line, words(rng, 30, 10**6)]) for _ in range(40)]
+    for i in range(12):
+        before, after = words(rng, 8, 10**6), words(rng, 8, 10**6).split()
+        texts += [" ".join([words(rng, 30, 10**6), before, line, *edited(after, at), words(rng, 30, 10**6)]) for at in ([], [5] if i % 2 else [])]
+    texts = [*texts[:20], *texts[40:], *texts[20:40]]
+    texts += [texts[0]] * 50
+    found = substrings.find(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    pairs = {(r.other_id, r.doc_id) for r in found}
+    assert {(20 + 2 * i, 21 + 2 * i) for i in range(12)} | {(0, i) for i in range(64, 114)} == pairs
+    # A copy is one row.
+    assert len(found) == 62 and all(r.n_words == 105 and r.similarity == 1 for r in found if r.doc_id >= 64)
+
+
+def test_similar_passages_share_a_run():
+    """Edits placed as evenly as the similarity allows leave a run of ``exact_run`` shingles."""
+    assert substrings.exact_run(5, 47, 0.8) == 21 and substrings.block_of(5, 47, 0.8) == (16, 10)
+    rng = random.Random(6)
+    for n in (51, 60, 89, 100, 150, 300):
+        for edits in range(1, 9):
+            passage = words(rng, n, 10**6).split()
+            a, b = grams(passage), grams(edited(passage, [round((i + 1) * n / (edits + 1)) for i in range(edits)]))
+            shared = len(np.intersect1d(a, b))
+            if shared >= 0.8 * (len(a) + len(b) - shared):
+                assert substrings.runs(np.isin(a, b), 21)
+
+
 def test_a_text_of_millions_of_shingles_has_the_same_windows(monkeypatch):
     v = np.random.default_rng(4).integers(0, 2**63, 5000).astype(np.uint64)
     doc = np.zeros(5000, np.int64)
