@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import collections
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -155,3 +158,36 @@ def test_blocks_keep_numbers():
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(columns, back, strict=True))
     up = np.sort(columns[0])
     assert (np.cumsum(deltas(up)) == up).all()
+
+
+_MEMORY = """
+import numpy as np, pyarrow as pa
+from types import SimpleNamespace as Some
+from tidemark.llm import language_model as lm
+from tidemark.llm.textnum import Words, utf8
+
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+def batches(n):
+    rng = np.random.default_rng(0)
+    for _ in range(n):
+        words = rng.integers(0, 100000, (1000, 400)).astype("U")
+        yield pa.record_batch([pa.array(np.arange(1000)), pa.array(np.ones(1000, bool)), pa.array([" ".join(r) for r in words])], names=["doc_id", "train", "text"])
+
+lm.TaskContext = Some(get=lambda: Some(partitionId=lambda: 0))
+head = Some(value=vars(lm.Head(np.array([lm.END]), np.zeros(0, np.int64), 8)))
+list(batches(2))
+before = resident()
+for _ in lm._dealt_tokens(head)(batches(8)):
+    pass
+print(resident() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_a_worker_gives_its_memory_back():
+    """After a task of some blocks a worker is about as large as before it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    grown = subprocess.run([sys.executable, "-c", _MEMORY], cwd=root, capture_output=True, text=True, check=True, timeout=120).stdout
+    assert float(grown) < 45, grown

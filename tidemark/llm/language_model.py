@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import ROW, Out, bucket_of, by_bucket, dealt, deltas, kinds_of, pack, plain_columns, plain_rows, read, tree_sum, unpack
+from tidemark.llm.blocks import ROW, Out, bucket_of, by_bucket, dealt, deltas, kinds_of, pack, plain_columns, plain_rows, read, release, released, tree_sum, unpack
 from tidemark.llm.textnum import Words, mix64, slices
 from tidemark.llm.toxicity import remainder
 from tidemark.runtime import Scratch, shuffle_partitions
@@ -145,7 +145,7 @@ def choose_head(docs: DataFrame, scratch: Scratch, most: int, tokens: int) -> He
     """
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SAMPLE)) == 0)
-    counts = scratch.table(some.mapInArrow(_sample_counts, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")))
+    counts = scratch.table(some.mapInArrow(released(_sample_counts), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")))
     total = counts.filter("u is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top = counts.filter("u is null").orderBy(F.col("n").desc(), "w").limit(most).select("w").toArrow().column("w").to_numpy()
     words = np.unique(np.append(top, END))
@@ -241,6 +241,7 @@ def _dealt_tokens(head: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             u, w, row = token_codes(data, offsets, h.words)
             if held and (size + len(u) > _FLUSH_TOKENS or rows_held + n > _FLUSH_ROWS):
                 yield from flush()
+                release()
                 size, rows_held, number = 0, 0, number + 1
             held.append((u, w, row + rows_held))
             ids = batch.column(0).cast(pa.int64())
@@ -250,7 +251,7 @@ def _dealt_tokens(head: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             yield from flush()
         yield from out.rest()
 
-    return run
+    return released(run)
 
 
 def _merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -359,7 +360,7 @@ def _build(head: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             yield from out.rest()
             yield from cells.to_words(bucket, h)
 
-    return run
+    return released(run)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -571,7 +572,7 @@ def _sweep(head: object, totals: object, number: int) -> Callable[[Iterator[pa.R
             back = at[len(p) :]
             yield from plain_rows(FROM_WORD, src, np.full(len(w), bucket), w, counts[back], customers[back], tables[back])
 
-    return run
+    return released(run)
 
 
 def _hot_cells(head: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -586,7 +587,7 @@ def _hot_cells(head: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 columns = [at[hot], cells.c[BOTH][hot], *(s[BOTH][hot] for s in cells.samples)]
                 yield pa.record_batch([pa.array(c) for c in columns], names=["i", "c", *(f"t{s}" for s in range(len(cells.samples)))])
 
-    return run
+    return released(run)
 
 
 @dataclass(frozen=True)
@@ -701,7 +702,7 @@ def _score(head: object, scorer: object) -> Callable[[Iterator[pa.RecordBatch]],
             yield from done()
             yield from out.rest()
 
-    return run
+    return released(run)
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -791,5 +792,5 @@ def train_and_score(spark: SparkSession, docs: DataFrame, most: int = HEAD, toke
         parts = read(spark, path, STATE, FROM_WORD).unionByName(read(spark, built, TOKEN, HOT))
         shares = dealt(parts, n, "chunk").mapInArrow(_score(head, scorer), ROW)
         whole = read(spark, built, DOC).unionByName(shares).repartition(max(n, shuffle_partitions(spark)), "chunk").sortWithinPartitions("chunk", "kind")
-        scored = whole.mapInArrow(_per_document, _SCORED)
+        scored = whole.mapInArrow(released(_per_document), _SCORED)
         return scratch.result(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(learned).cast("long").alias("train_tokens"), "base_score", "score"))
