@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import pack, tree_sum
+from tidemark.llm.blocks import pack, released, tree_sum
 from tidemark.llm.graph import components
 from tidemark.llm.textnum import Words, longs, mix64, slices, stream
 from tidemark.runtime import Scratch, fresh, shuffle_partitions
@@ -282,11 +282,11 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
     chosen = reps.join(wanted, F.col("class") == F.col("c")).select(F.col("doc_id").alias("rep"), "class", "salts")
     # Both sides grow with the input: neither is broadcast at any size.
     found = docs.select("doc_id", "text").join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "salts", "text")
-    held = scratch.table(found.mapInArrow(_set_rows(k), "class long, salt int, set binary").groupBy("class", "salt").agg(F.first("set").alias("set")), "uncompressed")
+    held = scratch.table(found.mapInArrow(released(_set_rows(k)), "class long, salt int, set binary").groupBy("class", "salt").agg(F.first("set").alias("set")), "uncompressed")
     a = held.select(F.col("class").alias("ca"), F.col("salt").alias("s1"), F.col("set").alias("set_a"))
     b = held.select(F.col("class").alias("cb"), F.col("salt").alias("s2"), F.col("set").alias("set_b"))
     joined = pairs.join(a, (F.col("a") == F.col("ca")) & (F.col("sa") == F.col("s1"))).join(b, (F.col("b") == F.col("cb")) & (F.col("sb") == F.col("s2"))).select("a", "b", "set_a", "set_b")
-    return scratch.table(joined.mapInArrow(_probed(percent), "a long, b long"))
+    return scratch.table(joined.mapInArrow(released(_probed(percent)), "a long, b long"))
 
 
 def link(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 85) -> DataFrame:
@@ -294,23 +294,23 @@ def link(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int = 4, per
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     slots = min(max(_SLOTS[0], 1 << (size // _CHARS_A_SLOT).bit_length()), _SLOTS[1])
-    raw = scratch.table(docs.mapInArrow(_facts(k, slots), _FACTS))
+    raw = scratch.table(docs.mapInArrow(released(_facts(k, slots)), _FACTS))
     facts = raw.filter("bucket is null").select("doc_id", "size", "class")
     sketches = raw.filter("bucket is not null")
     parts = sketches.agg(F.coalesce(F.max("bucket") + 1, F.lit(0))).first()[0]
     counts = spark.sparkContext.broadcast(_levels((tree_sum(sketches, parts, scratch.table, 8) or [np.zeros(slots)])[0]))
     reps = scratch.table(facts.filter("size > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
 
-    entries = docs.select("text").mapInArrow(_entries(k, percent, counts), "shingle long, class long, size int, rank int, times int")
+    entries = docs.select("text").mapInArrow(released(_entries(k, percent, counts)), "shingle long, class long, size int, rank int, times int")
     lists = entries.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
-    first = scratch.table(lists.mapInArrow(_first_round(percent), _ROUND1))
+    first = scratch.table(lists.mapInArrow(released(_first_round(percent)), _ROUND1))
     links1 = verified(first.filter("a is not null").select("a", "b", "need"), reps, docs, k, percent, scratch)
     near = components(links1, scratch)
 
     shared = first.filter("a is null").select(*_LIST)
     rooted = shared.join(near, F.col("class") == F.col("node"), "left").select(*_LIST, F.coalesce("root", "class").alias("root"))
     again = rooted.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
-    links2 = verified(again.mapInArrow(_second_round(percent), "a long, b long, need long"), reps, docs, k, percent, scratch)
+    links2 = verified(again.mapInArrow(released(_second_round(percent)), "a long, b long, need long"), reps, docs, k, percent, scratch)
 
     joined = components(links1.unionByName(links2), scratch)
     members = reps.join(joined, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))

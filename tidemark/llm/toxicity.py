@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.blocks import released
 from tidemark.llm.textnum import _BYTE, Words, _powers, mix64, slices
 from tidemark.runtime import fresh
 
@@ -339,7 +340,7 @@ def fit_on(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: in
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    scored = docs.select("doc_id", "text").mapInArrow(_scores(model), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(released(_scores(model)), "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
 
@@ -355,7 +356,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: f
     """The documents, whole and with all their columns, whose score stays under ``limit``."""
     model = fit_on(spark, docs, labels)
     name = fresh(docs, "score")
-    scored = docs.mapInArrow(scorer(model, name), f"{_ddl(docs)}, `{name}` double")
+    scored = docs.mapInArrow(released(scorer(model, name)), f"{_ddl(docs)}, `{name}` double")
     return scored.filter(F.col(name) < limit).drop(name)
 
 
