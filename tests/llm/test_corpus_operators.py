@@ -367,6 +367,33 @@ def test_links_behind_lines_that_many_documents_share(spark):
     assert len(found) == 62 and all(r.n_words == 105 and r.similarity == 1 for r in found if r.doc_id >= 64)
 
 
+def test_runs_of_one_word_are_no_pairs_of_all_documents(spark, monkeypatch):
+    """Documents with a word over and over meet the longest run before them; others only where a second shingle is shared."""
+    rng = np.random.default_rng(8)
+    own = lambda i: [f"w{i}x{x}" for x in rng.integers(0, 10**6, 40)]
+    length = [30, *(int(x) for x in rng.integers(20, 90, 38)), 80, 40, 40]
+    shared = [f"s{i}" for i in range(15)]
+    texts = [" ".join([*own(i), *["and"] * n, *(shared if i >= 40 else []), *own(i)]) for i, n in enumerate(length)]
+    seen = []
+    verify = substrings._verify
+
+    def counted(s, docs, scratch, stretches, *a):
+        seen.append(stretches.count())
+        return verify(s, docs, scratch, stretches, *a)
+
+    monkeypatch.setattr(substrings, "_verify", counted)
+    found = substrings.find(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(seen) == 2 and seen[1] < 2 * len(texts)
+    spans = {}
+    for r in found:
+        spans.setdefault(r.doc_id, set()).update(range(r.start_word, r.start_word + r.n_words))
+    for i in range(1, 40):
+        n = min(length[i], max(length[:i]))
+        assert len(spans.get(i, set()) & set(range(40, 40 + length[i]))) >= n if n >= 51 else i not in spans, i
+    # A run of 40 words and 15 others are a passage together.
+    assert any(r.doc_id == 41 and r.other_id == 40 and r.n_words >= 55 for r in found)
+
+
 def test_similar_passages_share_a_run():
     """Edits placed as evenly as the similarity allows leave a run of ``exact_run`` shingles."""
     assert substrings.exact_run(5, 47, 0.8) == 21 and substrings.block_of(5, 47, 0.8) == (16, 10)
