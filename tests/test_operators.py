@@ -107,6 +107,50 @@ def test_detectors_and_models(spark, tmp_path):
             detect.CompositeDetector(bad)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("kind", ["plain", "copies", "far", "tiny", "huge", "missing", "whole", "one"])
+def test_knn_block_equals_all_distances(kind, metric):
+    """Two blocks by bounds, against every distance; few of them are computed exactly."""
+    rng = np.random.default_rng(5)
+
+    def points(n):
+        x = rng.normal(size=(n, 8))
+        if kind == "copies":
+            x[: n // 2] = 0.5
+        if kind == "missing":
+            x[::7, 0], x[3, 1] = np.nan, np.inf
+        if kind == "whole":
+            x = rng.integers(0, 3, (n, 8)).astype(float)
+        return {"far": x + 1e8, "tiny": x * 1e-160, "huge": x * 1e160, "one": x * 0 + 2.5}.get(kind, x)
+
+    x, blocks = points(30), [points(200), points(200)]
+    x[:3] = blocks[0][:3]
+    near = want = [np.zeros(0)] * len(x)
+    with np.errstate(all="ignore"):
+        for b in blocks:
+            near = detect._Block(b, 5, metric).update(near, x)
+            want = [np.sort(np.concatenate([w, detect._distances(q, b, metric)]))[:5] for w, q in zip(want, x, strict=True)]
+    assert all(np.array_equal(a, b, equal_nan=True) for a, b in zip(near, want, strict=True))
+
+
+def test_knn_computes_few_distances(monkeypatch):
+    rng = np.random.default_rng(6)
+    seen = []
+    exact = detect._distances
+    monkeypatch.setattr(detect, "_distances", lambda x, p, m: seen.append(len(p)) or exact(x, p, m))
+    near = [np.zeros(0)] * 100
+    for _ in range(2):
+        near = detect._Block(rng.normal(size=(5000, 32)), 5, "euclidean").update(near, rng.normal(size=(100, 32)))
+    assert sum(seen) < 5000
+
+
+def test_knn_deals_the_queries_of_one_file(spark, monkeypatch):
+    monkeypatch.setattr(detect, "PARALLEL", 10)
+    df = spark.range(50).selectExpr("id", "double(id) AS x").coalesce(1)
+    out = detect.Knn(("x",), 2).fit(df).run(df)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and out.agg(F.max("score")).first()[0] == 1
+
+
 def test_knn_in_blocks_equals_one_block(spark, monkeypatch):
     rows = [(i, float(i * i % 37), float(i % 11)) for i in range(120)]
     df = spark.createDataFrame(rows, "i int, x double, y double")
