@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import spectral
-from tidemark.operators import detect, evaluate, features, forecast, prep, select, tune
+from tidemark.operators import detect, evaluate, features, forecast, inspect, prep, select, tune
 from tidemark.operators.base import REGISTRY, NotFitted, TimeKey, create, help_text, load_model
 from tidemark.streaming import online
 
@@ -328,3 +328,24 @@ def test_nearest_neighbour_models_load_again(spark, tmp_path):
         assert column(load_model(spark, path).run(points).orderBy("i"), value) == want
     with pytest.raises(NotFitted):
         detect.Knn(("a", "b")).apply(points, {"rows": 1})
+
+
+def test_clock_times_by_look_equal_every_pattern(spark):
+    """What a pattern's look keeps from its parser is nothing that the parser reads."""
+    cells = ["2024-01-02", "2024-1-2 3:4", "2024-01-02 03:04:05.123456", "2024-01-02T03:04", "2024-01-02t03:04:05", "2024/1/2 3:4:5", "20240102030405", "202401020304", "20240102", "3:4", "03:04:05.5", "+12024-01-02", "-2024-01-02", "+120240102", "+3:04", "2024-01-02 03:04:05+08:00", "2024-01-02 03:04Z", "2024-13-02", "29.27", "click", "1234567", "2024-01", "", " 2024-01-02 ", "2024-01-02x"]
+    df = spark.createDataFrame([(c,) for c in cells], "x string")
+    t = F.regexp_replace(F.trim("x"), r"(?<=\d:\d{2}|\.\d{1,6})\s*([+-]\d{2}:?\d{2}|Z)$", "")
+    every = F.when(~prep.is_na("x"), F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in inspect.TIME_PATTERNS])).cast("timestamp_ntz")
+    rows = df.select("x", inspect.clock_time("x").cast("string").alias("got"), every.cast("string").alias("want")).collect()
+    assert [(r.x, r.got) for r in rows] == [(r.x, r.want) for r in rows] and sum(r.got is not None for r in rows) >= 14
+
+
+def test_words_are_no_slower_to_judge_than_times(spark):
+    def seconds(cell):
+        rows = spark.range(40_000).select(F.concat(F.lit(cell), (F.col("id") % 10).cast("string")).alias("x"))
+        start = dt.datetime.now()
+        rows.agg(F.count(inspect.clock_time("x"))).first()
+        return (dt.datetime.now() - start).total_seconds()
+
+    seconds("2024-01-02 03:04:0")
+    assert seconds("word") < 2 * seconds("2024-01-02 03:04:0") + 0.5

@@ -16,6 +16,8 @@ _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 #: How times are written, the usual ways first. Brackets enclose what may be left out.
 TIME_PATTERNS = ("yyyy-M-d[ H:m[:s[.SSSSSS]]]", "yyyy-M-d'T'H:m[:s[.SSSSSS]]", "yyyy/M/d[ H:m[:s]]", "yyyyMMddHHmmss", "yyyyMMddHHmm", "yyyyMMdd", "H:m[:s[.SSSSSS]]")
+#: What text of each pattern begins or consists of. A parser that fails costs a Java exception, so it gets no other text.
+_LOOKS = (r"^[+-]?\d+-\d+-\d+", r"^[+-]?\d+-\d+-\d+[Tt]", r"^[+-]?\d+/\d+/\d+", r"^[+-]?\d{14,}$", r"^[+-]?\d{12,}$", r"^[+-]?\d{8,}$", r"^[+-]?\d+:\d+")
 #: Names that a first column of counts has when it tells the time.
 TIME_NAMES = ("time", "date", "timestamp", "datetime", "index", "no", "sequence_no", "seq", "seq_no", "ts", "tick", "step")
 _ZONE = r"([+-]\d{2}:?\d{2}|Z)$"
@@ -53,7 +55,7 @@ def complex_number(c: str | Column) -> Column:
 def clock_time(c: str | Column) -> Column:
     """A time without zone from text: the first pattern that fits. A zone is dropped and the clock kept, see ``zone``."""
     t = F.regexp_replace(_text(c), r"(?<=\d:\d{2}|\.\d{1,6})\s*([+-]\d{2}:?\d{2}|Z)$", "")
-    return F.when(~is_na(c), F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in TIME_PATTERNS])).cast("timestamp_ntz")
+    return F.when(~is_na(c), F.coalesce(*[F.when(t.rlike(look), F.try_to_timestamp(t, F.lit(p))) for p, look in zip(TIME_PATTERNS, _LOOKS, strict=True)])).cast("timestamp_ntz")
 
 
 def zone(c: str | Column) -> Column:
