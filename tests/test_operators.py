@@ -349,3 +349,18 @@ def test_words_are_no_slower_to_judge_than_times(spark):
 
     seconds("2024-01-02 03:04:0")
     assert seconds("word") < 2 * seconds("2024-01-02 03:04:0") + 0.5
+
+
+@pytest.mark.parametrize("share", [0.5, 0.95, 0.999])
+def test_percentile_by_narrowing_equals_percentile(spark, share):
+    """With a handful of values at a time, ties and nulls."""
+    df = spark.range(5000).select(F.when(F.col("id") % 11 > 0, F.when(F.col("id") % 3 > 0, F.hash("id") / 1000).otherwise(F.lit(7.5))).alias("s"))
+    want = df.agg(F.percentile("s", F.lit(share))).first()[0]
+    assert detect.exact_percentile(df, "s", share, 30) == want == detect.exact_percentile(df, "s", share)
+    assert detect.exact_percentile(df.filter("s is null"), "s", share) is None
+
+
+def test_percentile_decider_holds_no_table_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(detect.F, "percentile", None)
+    df = spark.range(101).select(F.col("id").cast("double").alias("score"))
+    assert detect.Percentile(95.0).fit(df).state["threshold"] == 95
