@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.prep import is_na
+from tidemark.runtime import shuffle_partitions
 
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
@@ -18,6 +19,7 @@ _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 TIME_PATTERNS = ("yyyy-M-d[ H:m[:s[.SSSSSS]]]", "yyyy-M-d'T'H:m[:s[.SSSSSS]]", "yyyy/M/d[ H:m[:s]]", "yyyyMMddHHmmss", "yyyyMMddHHmm", "yyyyMMdd", "H:m[:s[.SSSSSS]]")
 #: What text of each pattern begins or consists of. A parser that fails costs a Java exception, so it gets no other text.
 _LOOKS = (r"^[+-]?\d+-\d+-\d+", r"^[+-]?\d+-\d+-\d+[Tt]", r"^[+-]?\d+/\d+/\d+", r"^[+-]?\d{14,}$", r"^[+-]?\d{12,}$", r"^[+-]?\d{8,}$", r"^[+-]?\d+:\d+")
+_ANY_LOOK = r"^[+-]?\d+[-/:]|^[+-]?\d{8,}$"
 #: Names that a first column of counts has when it tells the time.
 TIME_NAMES = ("time", "date", "timestamp", "datetime", "index", "no", "sequence_no", "seq", "seq_no", "ts", "tick", "step")
 _ZONE = r"([+-]\d{2}:?\d{2}|Z)$"
@@ -55,7 +57,7 @@ def complex_number(c: str | Column) -> Column:
 def clock_time(c: str | Column) -> Column:
     """A time without zone from text: the first pattern that fits. A zone is dropped and the clock kept, see ``zone``."""
     t = F.regexp_replace(_text(c), r"(?<=\d:\d{2}|\.\d{1,6})\s*([+-]\d{2}:?\d{2}|Z)$", "")
-    return F.when(~is_na(c), F.coalesce(*[F.when(t.rlike(look), F.try_to_timestamp(t, F.lit(p))) for p, look in zip(TIME_PATTERNS, _LOOKS, strict=True)])).cast("timestamp_ntz")
+    return F.when(t.rlike(_ANY_LOOK) & ~is_na(c), F.coalesce(*[F.when(t.rlike(look), F.try_to_timestamp(t, F.lit(p))) for p, look in zip(TIME_PATTERNS, _LOOKS, strict=True)])).cast("timestamp_ntz")
 
 
 def zone(c: str | Column) -> Column:
@@ -138,7 +140,8 @@ def time_column(df: DataFrame, columns: list[str], order: str) -> tuple[str, str
     of whole numbers that never fall and are distinct in over 80 %, else a first column of whole numbers with a
     name of ``TIME_NAMES``. Every row counts, and a column of bare numbers is no timestamp."""
     cells = [(F.count_if(~is_na(c)), F.count_if(clock_time(c).isNotNull() & number(c).isNull()), F.count_if(integer(c).isNotNull()), F.approx_count_distinct(integer(c), 0.02)) for c in columns]
-    row = df.agg(*[x.alias(f"f{i}_{k}") for i, group in enumerate(cells) for k, x in enumerate(group)]).first()
+    # Judging a row costs more than moving it, and a table of one file is one task.
+    row = df.select(*columns).repartition(shuffle_partitions(df.sparkSession)).agg(*[x.alias(f"f{i}_{k}") for i, group in enumerate(cells) for k, x in enumerate(group)]).first()
     facts = {c: tuple(row[f"f{i}_{k}"] for k in range(4)) for i, c in enumerate(columns)}
     for c, (filled, times, _, _) in facts.items():
         if filled and times >= 0.9 * filled:
